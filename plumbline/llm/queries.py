@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, sentencepiece_codec, simhash
+from . import chat, exact_dedup, fingerprint, mixing, quality, sentencepiece_codec, simhash, token_output, url_filter
 
 
 def _table(name: str):
@@ -21,10 +21,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.training_sequences(documents(spark, sf_dir))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(conversations(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(pages(spark, sf_dir), url_filter.default_rules(spark))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(documents(spark, sf_dir), keep=["doc_id"])
 
@@ -37,5 +49,9 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op5_quality_classifier, op7_sentencepiece, op8_exact_dedup, op9_mix_sources)}
-ORACLE_SQL = {"op8_exact_dedup": exact_dedup.DUPLICATES_SQL, "op9_mix_sources": mixing.MIX_SQL}
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.nearest_digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_output, op3_chat_formatting, op5_quality_classifier, op6_url_filter, op7_sentencepiece, op8_exact_dedup, op9_mix_sources, op10_document_fingerprints)}
+ORACLE_SQL = {"op3_chat_formatting": chat.PERSPECTIVES_SQL, "op6_url_filter": url_filter.VERDICTS_SQL, "op8_exact_dedup": exact_dedup.DUPLICATES_SQL, "op9_mix_sources": mixing.MIX_SQL}

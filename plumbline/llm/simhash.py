@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import U, mix, pair_set, slices, words
-from ._shared import drop_written, written
+from ._shared import drop_written, meeting_cells, written
 
 KEYS = 12
 RADIUS = 66
@@ -272,11 +272,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rep = written(rep, "distinct")
     equal = sign.join(rep.where("top > rep").select(*SIG, "rep"), SIG).where("id > rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     keyed = rep.select("rep", *SIG, F.explode("keys").alias("key"))
-    large = keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
-    # a bucket in parts p, q, ...: a row of part p goes to every cell (p, q), so that any two rows meet
-    parted = keyed.join(large, "key", "left").withColumn("p", F.expr("CASE WHEN parts IS NULL THEN 0 ELSE pmod(xxhash64(rep), parts) END").cast("int"))
-    parted = parted.select("key", *SIG, F.col("rep").alias("id"), F.explode(F.expr("CASE WHEN parts IS NULL THEN array(0L) ELSE transform(sequence(0, parts - 1), q -> least(p, q) * 4294967296L + greatest(p, q)) END")).alias("cell"))
-    met = parted.repartition("key", "cell").sortWithinPartitions("key", "cell", "id").select("key", "cell", "id", *SIG)
+    met = meeting_cells(keyed.withColumnRenamed("rep", "id"), ["key"], "id", cell).select("key", "cell", "id", *SIG)
     near = met.mapInArrow(_compare(radius), "u long, v long")
     out = components(equal.union(near))
     return out.select(F.col("u").alias("doc_id"), F.col("v").alias("kept_doc_id"))
