@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprint, mixing, quality, sentencepiece_codec, simhash, token_output, url_filter
+from . import chat, exact_dedup, fingerprint, mixing, pii, quality, sentencepiece_codec, simhash, token_output, url_filter
 
 
 def _table(name: str):
@@ -29,6 +29,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(conversations(spark, sf_dir))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -53,5 +57,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.nearest_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_output, op3_chat_formatting, op5_quality_classifier, op6_url_filter, op7_sentencepiece, op8_exact_dedup, op9_mix_sources, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_output, op3_chat_formatting, op4_personal_data, op5_quality_classifier, op6_url_filter, op7_sentencepiece, op8_exact_dedup, op9_mix_sources, op10_document_fingerprints)}
 ORACLE_SQL = {"op3_chat_formatting": chat.PERSPECTIVES_SQL, "op6_url_filter": url_filter.VERDICTS_SQL, "op8_exact_dedup": exact_dedup.DUPLICATES_SQL, "op9_mix_sources": mixing.MIX_SQL}
