@@ -38,8 +38,8 @@ WINDOW = 512
 OVERLAP = 64
 #: Characters in a batch of windows.
 BATCH_CHARS = 1 << 19
-TRAIN_STEPS = 900
-TRAIN_BATCH = 96
+TRAIN_STEPS = 600
+TRAIN_BATCH = 64
 TRAIN_LENGTH = 96
 SEED = 11
 PAD = 0
