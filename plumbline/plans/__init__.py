@@ -1,0 +1,3 @@
+"""Queries over the driver's tables, one module a family; importing this registers them all."""
+
+from . import features, graph, quality, relational, series, statistics, streams, text, vectors  # noqa: F401

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,3 +80,22 @@ def overwrite_window(df: DataFrame, path: str, partition: str) -> None:
 def compacted(df: DataFrame, files: int, order: list[str]) -> DataFrame:
     """df in so many files, sorted within each, for readers that skip by statistics."""
     return df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where it is unset, a local master gets one of its own, and a cluster is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: a lost executor costs nothing of it."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
