@@ -181,8 +181,8 @@ def training_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def write_shards(sequences: DataFrame, path: str, *, length: int = LENGTH) -> DataFrame:
     """Writes shard files (shard-00000000.bin, fixed stride of WIDTH * length bytes) to path and returns (shard, first_slot, sequences, bytes).
 
-    A file is written under a name of its task attempt and renamed when whole, so a task that runs twice does no harm; a shard whose file has the full size already is left alone,
-    which makes a second call a resumption. path is a folder that every executor can reach as a file system."""
+    A file is written under a name of its task attempt and renamed when whole, so a task that runs twice does no harm, and a file that is there is whole. Such a file isn't written again,
+    which makes a second call a resumption; one of another size than the sequences need is an error, as path belongs to one set of sequences. path is a folder that every executor can reach as a file system."""
     import re
 
     root = re.sub(r"^file:/+", "/", path)
@@ -196,8 +196,12 @@ def write_shards(sequences: DataFrame, path: str, *, length: int = LENGTH) -> Da
 
         def close():
             shard, first, count, f, name = state
-            f.close()
-            os.replace(name, os.path.join(root, f"shard-{shard:08d}.bin"))
+            final = os.path.join(root, f"shard-{shard:08d}.bin")
+            if f is not None:
+                f.close()
+                os.replace(name, final)
+            elif os.path.getsize(final) != count * WIDTH * length:
+                raise ValueError(f"{final} is of other sequences")
             return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([first]), pa.array([count]), pa.array([count * WIDTH * length])], names=["shard", "first_slot", "sequences", "bytes"])
 
         for b in batches:
@@ -206,8 +210,10 @@ def write_shards(sequences: DataFrame, path: str, *, length: int = LENGTH) -> Da
                     if state is not None:
                         yield close()
                     name = os.path.join(root, f".{shard:08d}-{uuid.uuid4().hex}")
-                    state = [shard, slot, 0, open(name, "wb"), name]
-                state[3].write(raw)
+                    there = os.path.exists(os.path.join(root, f"shard-{shard:08d}.bin"))
+                    state = [shard, slot, 0, None if there else open(name, "wb"), name]
+                if state[3] is not None:
+                    state[3].write(raw)
                 state[2] += 1
         if state is not None:
             yield close()
@@ -216,7 +222,7 @@ def write_shards(sequences: DataFrame, path: str, *, length: int = LENGTH) -> Da
 
 
 def read_sequences(path: str, first: int, count: int, *, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
-    """(count, length) token ids of the slots from first on, by seeking."""
+    """(count, length) token ids of the slots from first on, by seeking; fewer rows where the shards end."""
     import os
 
     out = []
@@ -224,6 +230,8 @@ def read_sequences(path: str, first: int, count: int, *, length: int = LENGTH, p
         shard, at = divmod(first, per_shard)
         name = os.path.join(path, f"shard-{shard:08d}.bin")
         here = min(count, per_shard - at)
+        if not os.path.exists(name):
+            break
         with open(name, "rb") as f:
             f.seek(at * WIDTH * length)
             got = np.frombuffer(f.read(here * WIDTH * length), "<u2").reshape(-1, length)

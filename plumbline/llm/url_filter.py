@@ -55,16 +55,25 @@ def canonical(url: Column) -> tuple[Column, Column, Column]:
     rest = F.regexp_replace(u, r"^[^/?]*", "")
     path = F.regexp_extract(rest, r"^([^?]*)", 1)
     query = F.regexp_extract(rest, r"(\?.*)$", 1)
-    path = F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), path), r"/{2,}", "/"), r"(/\.)+(/|$)", "/")
-    for _ in range(MAX_PREFIX):
-        path = F.regexp_replace(path, r"^((?:/[^/]+)*?)/[^/]+/\.\.(/|$)", "$1/")
-        path = F.regexp_replace(path, r"^(/\.\.)+(/|$)", "/")
+    path = F.regexp_replace(F.concat(F.lit("/"), path), r"/{2,}", "/")
+    path = F.when(path.rlike(r"/\.\.?(/|$)"), _resolved(path)).otherwise(path)
     return F.nullif(host, F.lit("")), path, query
 
 
-def expressions(url: Column) -> Column:
-    """array<struct<host, rest>>."""
-    host, path, query = canonical(url)
+def _resolved(path: Column) -> Column:
+    """Without the segments "." and "..", segment by segment: a regular expression would recurse on long paths."""
+    segments = F.slice(F.split(path, "/"), 2, 1 << 30)
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+
+def expressions(host: Column, path: Column, query: Column) -> Column:
+    """array<struct<host, rest>> of a canonical URL."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.filter(F.sequence(F.lit(2), F.lit(MAX_SUFFIX + 1)), lambda k: k < n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
@@ -83,7 +92,9 @@ def _digest(expression: Column) -> Column:
 def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, url, action, rule_id, matched): the deciding rule of each page, with the expression it matched."""
     seen = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    expanded = seen.select("url").where("url IS NOT NULL").distinct().select("url", F.explode(expressions(F.col("url"))).alias("e")).select("url", F.concat("e.host", "e.rest").alias("expression"), F.length("e.host").alias("host_length"))
+    host, path, query = canonical(F.col("url"))
+    parts = seen.select("url").where("url IS NOT NULL").distinct().select("url", host.alias("host"), path.alias("path"), query.alias("query"))
+    expanded = parts.select("url", F.explode(expressions(F.col("host"), F.col("path"), F.col("query"))).alias("e")).select("url", F.concat("e.host", "e.rest").alias("expression"), F.length("e.host").alias("host_length"))
     expanded = expanded.withColumn("digest", _digest(F.col("expression"))).withColumn("prefix", F.substring("digest", 1, 4))
     known = rules.where("pattern IS NOT NULL AND action IS NOT NULL")
     host, path, query = canonical(F.col("pattern"))
