@@ -37,7 +37,7 @@ EMBED = 8
 WINDOW = 512
 OVERLAP = 64
 #: Characters in a batch of windows.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 20
 TRAIN_STEPS = 600
 TRAIN_BATCH = 64
 TRAIN_LENGTH = 96
@@ -248,7 +248,8 @@ class Tagger:
         e = len(embed)
         gates = np.empty((4 * h, b), np.float32)
         for d in range(2):
-            both, project = np.ascontiguousarray(np.concatenate([self.inputs[d], self.loops[d]]).T), np.ascontiguousarray(self.outs[d].T)
+            # the state is kept doubled, which saves halving the output gate; the weights that it meets are halved instead
+            both, project = np.ascontiguousarray(np.concatenate([self.inputs[d], self.loops[d] / 2]).T), np.ascontiguousarray(self.outs[d].T / 2)
             # the character's vector and the state, one above the other
             joined, cell = np.zeros((e + h, b), np.float32), np.zeros((h, b), np.float32)
             vector, state = joined[:e], joined[e:]
@@ -257,12 +258,12 @@ class Tagger:
                 np.take(embed, columns[k], axis=1, out=vector, mode="clip")
                 np.matmul(both, joined, out=gates)
                 np.tanh(gates, out=gates)
-                sig = gates[: 3 * h]
-                sig += 1
-                sig *= 0.5
+                # twice the gates; the cell is halved once for both of its terms
+                gates[: 3 * h] += 1
                 np.multiply(gates[:h], gates[3 * h :], out=one)
                 cell *= gates[h : 2 * h]
                 cell += one
+                cell *= 0.5
                 np.tanh(cell, out=one)
                 np.multiply(gates[2 * h : 3 * h], one, out=state)
                 np.matmul(project, state, out=emit)
@@ -270,8 +271,30 @@ class Tagger:
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """(B, T) best tags."""
+        """(B, T) best tags. Rows that can't have a tag are left out of the search."""
         score = self.emissions(ids)
+        open_ = np.flatnonzero(self._gain(score) > -1e-3)
+        tags = np.zeros(ids.shape, np.uint8)
+        if len(open_):
+            tags[open_] = self._viterbi(np.ascontiguousarray(score[:, :, open_]))
+        return tags
+
+    def _gain(self, score: np.ndarray) -> np.ndarray:
+        """A bound, for each row, on what one run of tags can gain over none at all: below zero, every path with tags scores less than the one without, as runs
+        that none parts gain on their own. Transitions into, within and out of a run count at their best; a run at an end of the row has none there."""
+        t00 = self.trans[0, 0]
+        into, inside, out = float((self.trans[0, 1:] - t00).max()), float((self.trans[1:, 1:] - t00).max()), float((self.trans[1:, 0] - t00).max())
+        lead = score[:, 0] - score[:, 1:].max(axis=1)
+        run = -lead[0]
+        most = np.full_like(run, -np.inf)
+        for k in range(1, len(lead)):
+            np.maximum(most, run, out=most)
+            run += inside
+            np.maximum(run, into, out=run)
+            run -= lead[k]
+        return np.maximum(most + out, run)
+
+    def _viterbi(self, score: np.ndarray) -> np.ndarray:
         t, _, b = score.shape
         best, moved = np.empty((TAGS, b), np.float32), np.empty((TAGS, b), np.float32)
         # whether the best way to "none" comes from "none"
