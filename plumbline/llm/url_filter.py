@@ -93,7 +93,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     """(page_id, url, action, rule_id, matched): the deciding rule of each page, with the expression it matched."""
     seen = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path, query = canonical(F.col("url"))
-    parts = seen.select("url").where("url IS NOT NULL").distinct().select("url", host.alias("host"), path.alias("path"), query.alias("query"))
+    # few bytes and much work follow: as many tasks as the session has for a shuffle, whatever the size
+    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = seen.select("url").where("url IS NOT NULL").distinct().repartition(spread, "url").select("url", host.alias("host"), path.alias("path"), query.alias("query"))
     expanded = parts.select("url", F.explode(expressions(F.col("host"), F.col("path"), F.col("query"))).alias("e")).select("url", F.concat("e.host", "e.rest").alias("expression"), F.length("e.host").alias("host_length"))
     expanded = expanded.withColumn("digest", _digest(F.col("expression"))).withColumn("prefix", F.substring("digest", 1, 4))
     known = rules.where("pattern IS NOT NULL AND action IS NOT NULL")
