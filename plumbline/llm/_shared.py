@@ -55,14 +55,16 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def meeting_cells(keyed: DataFrame, keys: list[str], id_col: str, most: int) -> DataFrame:
+def meeting_cells(keyed: DataFrame, keys: list[str], id_col: str, most: int, part: str | None = None) -> DataFrame:
     """keyed with a column cell, repartitioned and sorted by keys and cell, so that any two rows of equal keys are in one cell and a cell has about 2 * most rows at most.
 
-    A key with more than `most` rows is cut into parts by the hash of the id; a row of part p goes to the cells (p, q) of all parts q."""
+    A key with more than `most` rows is cut into parts by the hash of the id; a row of part p goes to the cells (p, q) of all parts q.
+    A cell is the number min(p, q) * 2^32 + max(p, q); where a name is given as part, that column keeps p."""
     from pyspark.sql import functions as F
 
     large = keyed.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("parts"))
     p = F.expr(f"CASE WHEN parts IS NULL THEN 0 ELSE pmod(xxhash64({id_col}), parts) END").cast("int")
     cells = F.expr("CASE WHEN parts IS NULL THEN array(0L) ELSE transform(sequence(0, parts - 1), q -> least(p, q) * 4294967296L + greatest(p, q)) END")
-    out = keyed.join(large, keys, "left").withColumn("p", p).withColumn("cell", F.explode(cells)).drop("p", "parts")
+    out = keyed.join(large, keys, "left").withColumn("p", p).withColumn("cell", F.explode(cells)).drop("parts")
+    out = out.withColumnRenamed("p", part) if part else out.drop("p")
     return out.repartition(*keys, "cell").sortWithinPartitions(*keys, "cell", id_col)

@@ -5,15 +5,17 @@ quarter of the 128 counts its own lies; the digest is these codes, the code of t
 quartiles. Texts that share most of their bytes get digests that differ in few codes, whatever the order of their parts.
 
 The difference of two digests adds, for each bucket, 0, 1, 2 or 6 for codes 0 to 3 apart, and the distances of the ratios (around
-the circle of 16) and of the length codes; length codes more than 1 apart count 12 for each step. It is bounded: beyond BOUND two
-documents are unrelated, and the score isn't followed further (null).
+the circle of 16) and of the length codes; length codes more than 1 apart count 12 for each step. It is bounded: beyond BOUND the
+score isn't followed further (null). BOUND is set from measured distances (see README): most copies with 3 to 5 % of their words replaced lie within it, of
+short texts fewer. Of texts above some 3000 characters unrelated ones of a language can lie within it, too, as their counts approach the language's own;
+where that matters, take a smaller difference from the result.
 
-nearest_digests finds every pair within BOUND exactly: a pair within the bound differs in at most BOUND of the 128 buckets, so of
-BOUND + 1 bands of buckets one is equal, and the length codes are at most 1 apart. Documents meet by band and range of lengths; equal digests collapse before, so thousands of copies
+nearest_digests finds every pair within BOUND exactly: length codes that are further apart than the bound allows can't be within it; all other pairs are compared, tile by tile, by one bit
+of each code (a lower bound of the difference), and what that leaves by the whole difference. Equal digests collapse before, so thousands of copies
 cost one comparison. For each document only its best partner leaves a task.
 
-Cost: the text is read once, in numpy. A document then weighs about a kilobyte in one shuffle. Comparisons grow with the square of the documents that share a band by
-chance, about 1 in 3000 pairs of like length for a bound of 16; a corpus of billions should lower BOUND (longer bands) rather than pay for them.
+Cost: the text is read once, in numpy. Documents meet by range of lengths, so a digest is shuffled once or twice, and once more for every CELL documents of its range. Comparisons, of a few nanoseconds each,
+grow with the square of the documents of like length; bands of equal codes would spare few of them, as at this bound a band has but four buckets.
 
 Defined cases: a null text and one of fewer than MIN_BYTES bytes have no digest, and no partner. Ties go to the smaller doc_id.
 Rows that share a doc_id count as one document (the least of their digests). Rows of null doc_id get a digest but neither have nor are partners. Columns other than the two named don't matter.
@@ -33,10 +35,12 @@ from ._shared import meeting_cells, written
 
 BUCKETS = 128
 MIN_BYTES = 50
-BOUND = 16
+BOUND = 30
 CELL = 20_000
-#: Length codes that share a range; a code at a range's end also goes to the next.
-RANGE = 4
+#: Length codes that share a range; those at a range's end also go to the next.
+RANGE = 8
+#: Rows and columns of a tile of comparisons, which stays in a core's cache.
+TILE = 16, 2048
 PLANES = ["h0", "h1", "l0", "l1"]
 _T = (mix(np.arange(3 * 3 * 256, dtype=U)) >> U(40)).astype(np.uint32).reshape(3, 3, 256)
 TRIPLETS = [(0, 1, 2), (0, 1, 3), (0, 2, 4)]
@@ -98,20 +102,9 @@ def _hex():
     return F.lower(F.concat(F.lpad(F.hex("len"), 2, "0"), F.hex("r1"), F.hex("r2"), *(F.lpad(F.hex(c), 16, "0") for c in PLANES)))
 
 
-def _bands(bound: int):
-    """Explodes to the bands' keys: each the hash of the band's number and its codes."""
-    edges = np.linspace(0, BUCKETS, bound + 2).round().astype(int)
-
-    def bits(plane: int, lo: int, hi: int):
-        out = F.lit(0).cast("long")
-        for w in range(2):
-            a, b = max(lo, 64 * w) - 64 * w, min(hi, 64 * w + 64) - 64 * w
-            if a < b:
-                mask = ((1 << (b - a)) - 1) << a
-                out = F.xxhash64(out, F.col(PLANES[2 * plane + w]).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)))
-        return out
-
-    return F.array(*(F.xxhash64(F.lit(k), bits(0, a, b), bits(1, a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+def _reach(bound: int) -> int:
+    """How far apart length codes within the bound can be."""
+    return max(1, bound // 12)
 
 
 def _best(bound: int):
@@ -136,18 +129,17 @@ def _best(bound: int):
 
 
 def _best_of(t: pa.Table, bound: int) -> Iterator[pa.RecordBatch]:
-    """The best partner within the bound of each row, over the pairs of each bucket."""
+    """The best partner within the bound of each row, over the pairs of each cell."""
     n = t.num_rows
     if not n:
         return
-    key, cell, ids = (t.column(c).to_numpy() for c in ("key", "cell", "id"))
+    key, cell, part, ids = (t.column(c).to_numpy() for c in ("key", "cell", "part", "id"))
     sig = np.stack([t.column(c).to_numpy() for c in PLANES], axis=1).view(U)
     head = np.stack([t.column(c).to_numpy() for c in ("len", "r1", "r2")], axis=1)
+    high = np.ascontiguousarray(sig[:, :2].T)
     begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
-    size = np.diff(np.append(begin, n))
-    bucket = np.repeat(np.arange(len(begin)), size)
-    end = (begin + size)[bucket]
     best, other = np.full(n, bound + 1), np.full(n, np.iinfo(np.int64).max)
+    reach, width = _reach(bound), max(RANGE, _reach(bound))
 
     def offer(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> None:
         """d of each row x to the row y: kept if better, or as good and y of smaller id."""
@@ -158,27 +150,43 @@ def _best_of(t: pa.Table, bound: int) -> Iterator[pa.RecordBatch]:
         better = (d < best[x]) | ((d == best[x]) & (y < other[x]))
         best[x[better]], other[x[better]] = d[better], y[better]
 
-    def pairs(x: np.ndarray, y: np.ndarray) -> None:
-        near = (np.abs(head[x, 0] - head[y, 0]) <= 1) & (ids[x] != ids[y])
-        x, y = x[near], y[near]
-        d = difference(sig[x], sig[y], head[x], head[y])
-        hit = d <= bound
-        x, y, d = x[hit], y[hit], d[hit]
-        if len(x):
-            offer(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([d, d]))
-
-    # the k-th following row of all buckets at once, as long as many buckets have one; the rest row by row
-    at, k = np.arange(n), 1
-    while True:
-        x = at[at + k < end[at]]
-        if len(x) < 2000 or k > 4096:
-            break
-        at = x
-        pairs(x, x + k)
-        k += 1
-    for x in at[at + k < end[at]]:
-        y = np.arange(x + k, end[x])
-        pairs(np.full(len(y), x), y)
+    def compare(a: np.ndarray, b: np.ndarray, apart: int) -> None:
+        """All pairs of rows a and b, whose length codes are so far apart; each pair once where a is b."""
+        left = bound - (apart if apart <= 1 else 12 * apart)
+        for s in range(0, len(a), TILE[0]):
+            x, rest = a[s : s + TILE[0]], b[s:] if a is b else b
+            for u in range(0, len(rest), TILE[1]):
+                y = rest[u : u + TILE[1]]
+                low = np.bitwise_count(high[0, x][:, None] ^ high[0, y])
+                if left > 12:  # the first 64 buckets alone tell little then
+                    low += np.bitwise_count(high[1, x][:, None] ^ high[1, y])
+                i, j = np.divmod(np.flatnonzero(low <= left), len(y))
+                if a is b:
+                    once = i < j + u
+                    i, j = i[once], j[once]
+                if not len(i):
+                    continue
+                i, j = x[i], y[j]
+                d = difference(sig[i], sig[j], head[i], head[j])
+                hit = (d <= bound) & (ids[i] != ids[j])
+                i, j, d = i[hit], j[hit], d[hit]
+                if len(i):
+                    offer(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d]))
+
+    for lo, hi in zip(begin, np.append(begin[1:], n), strict=True):
+        p, q = int(cell[lo]) >> 32, int(cell[lo]) & 0xFFFFFFFF
+        sides = []
+        for side in (p,) if p == q else (p, q):
+            rows = lo + np.flatnonzero(part[lo:hi] == side)
+            sides.append({int(c): rows[head[rows, 0] == c] for c in np.unique(head[rows, 0])})
+        one, two = sides[0], sides[-1]
+        # a pair is compared in the range of its larger length code
+        for c in (c for c in one.keys() | two.keys() if c // width == key[lo]):
+            for apart in range(reach + 1):
+                if c in one and c - apart in two:
+                    compare(one[c], two[c - apart], apart)
+                if p != q and apart and c in two and c - apart in one:
+                    compare(two[c], one[c - apart], apart)
     hit = best <= bound
     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(other[hit]), pa.array(best[hit].astype(np.int32))], names=["id", "other", "d"])
 
@@ -196,10 +204,11 @@ def nearest_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     many = one.join(same.where("n > 1"), parts)
     second = many.where("id > a").groupBy("a").agg(F.min("id").alias("b"))
     equal = many.where("id > a").selectExpr("id", "a AS other", "0 AS d").union(second.selectExpr("a AS id", "b AS other", "0 AS d"))
-    ranges = F.when(F.col("len") % RANGE == RANGE - 1, F.array(F.floor(F.col("len") / RANGE), F.floor(F.col("len") / RANGE) + 1)).otherwise(F.array(F.floor(F.col("len") / RANGE)))
-    keyed = same.select(F.col("a").alias("id"), *parts, F.explode(ranges).alias("range")).select("id", *parts, "range", F.explode(_bands(bound)).alias("band"))
-    keyed = keyed.select("id", *parts, F.xxhash64("band", "range").alias("key"))
-    found = meeting_cells(keyed, ["key"], "id", cell).select("key", "cell", "id", *parts).mapInArrow(_best(bound), "id long, other long, d int")
+    width = max(RANGE, _reach(bound))
+    home = F.floor(F.col("len") / width)
+    ranges = F.when(F.col("len") % width >= width - _reach(bound), F.array(home, home + 1)).otherwise(F.array(home))
+    keyed = same.select(F.col("a").alias("id"), *parts, F.explode(ranges).alias("key"))
+    found = meeting_cells(keyed, ["key"], "id", cell, "part").select("key", "cell", "part", "id", *parts).mapInArrow(_best(bound), "id long, other long, d int")
     best = found.union(equal).groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select(F.col("id").alias("_id"), F.col("m.other").alias("nearest_doc_id"), F.col("m.d").alias("difference"))
     out = made.select("id", _hex().alias("digest")).join(best, F.col("id") == F.col("_id"), "left").select(F.col("id").alias("doc_id"), "digest", "nearest_doc_id", "difference")
     return out.unionByName(short.select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("nearest_doc_id"), F.lit(None).cast("int").alias("difference")))

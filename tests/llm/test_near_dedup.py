@@ -152,3 +152,32 @@ def test_fingerprint_cases(spark):
     assert (False, 1, 2, 0) in got and (False, 2, 1, 0) in got and (True, 0, None, None) in got
     assert {(x[2], x[3]) for x in got if x[1] in (4, 5, 6, 7)} == {(None, None)}
     assert fingerprint.nearest_digests(docs.limit(0)).count() == 0
+
+
+def test_most_edited_copies_find_their_original(spark):
+    """Recall is held against copies that were edited, not against BOUND."""
+    rng = np.random.default_rng(11)
+    texts = [prose(rng, int(rng.integers(150, 500))) for _ in range(120)]
+    for share, least in ((0.03, 0.9), (0.05, 0.8)):
+        docs = spark.createDataFrame(list(enumerate(texts + [edited(rng, t, share) for t in texts])), "doc_id long, text string")
+        got = {r.doc_id: r.nearest_doc_id for r in fingerprint.nearest_digests(docs).collect()}
+        assert sum(got[k + 120] == k for k in range(120)) >= least * 120
+
+
+def test_fingerprints_of_lengths_two_codes_apart(spark):
+    """Two steps of length count 24, which is within the bound: such pairs are found across ranges and cells as well."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(40):
+        block = prose(rng, int(rng.integers(40, 120))) + " "
+        texts += [block * 10, block * 12]
+    codes, head = fingerprint.digests(pa.array(texts))
+    p = fingerprint.packed(codes)
+    i, j = (x.ravel() for x in np.indices((80, 80)))
+    d = fingerprint.difference(p[i], p[j], head[i], head[j]).reshape(80, 80)
+    np.fill_diagonal(d, 10**6)
+    want = {k: (int(d[k].argmin()), int(d[k].min())) if d[k].min() <= fingerprint.BOUND else (None, None) for k in range(80)}
+    assert sum(v[1] is not None and v[1] >= 24 for v in want.values()) > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cell in (3, fingerprint.CELL):
+        assert {r.doc_id: (r.nearest_doc_id, r.difference) for r in fingerprint.nearest_digests(docs, cell=cell).collect()} == want
