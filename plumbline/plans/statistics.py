@@ -83,6 +83,25 @@ def _pvalues(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", ((F.col("p_partkey") * 37 % 1000 + 1) / 20000.0).alias("p"))
 
 
+#: p-values of every part, over the whole scale and with ties.
+_ALL_P = "SELECT p_partkey, x * x * x * x AS p FROM (SELECT p_partkey, (p_partkey * 37 % 1000 + 1) / 1000.0::DOUBLE AS x FROM part)"
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS k FROM ({_ALL_P})) SELECT p_partkey, p, least(1, max((k - r + 1) * p) OVER (ORDER BY r)) AS adjusted FROM r")
+def holm_parts(spark, sf_dir):
+    return S.holm(_all_pvalues(spark, sf_dir))
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS k FROM ({_ALL_P})) SELECT p_partkey, p, least(1, min(k * p / r) OVER (ORDER BY r DESC)) AS adjusted FROM r")
+def benjamini_hochberg_parts(spark, sf_dir):
+    return S.benjamini_hochberg(_all_pvalues(spark, sf_dir))
+
+
+def _all_pvalues(spark, sf_dir):
+    x = (F.col("p_partkey") * 37 % 1000 + 1) / F.lit(1000.0)
+    return table(spark, sf_dir, "part").select("p_partkey", (x * x * x * x).alias("p"))
+
+
 _ICC = """SELECT '{c}' AS "column", count(*) AS k, CAST(sum(n) AS BIGINT) AS n, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) AS m0, sum(n * pow(m - gm, 2)) / (count(*) - 1) AS msb, sum(n * v) / (sum(n) - count(*)) AS msw
 FROM (SELECT count(*) AS n, avg({c}) AS m, var_pop({c}) AS v FROM orders_x GROUP BY o_custkey), (SELECT avg({c}) AS gm FROM orders_x)"""
 
