@@ -1,11 +1,11 @@
 """URL filters by host-suffix and path-prefix expressions.
 
-A URL is put into canonical form and expanded into expressions: the host as it is and its suffixes of up to MAX_SUFFIX labels, each
-with the path and query, the path, and the path's prefixes of up to MAX_PREFIX segments. A rule is such an expression. Both sides are hashed with
+A URL is put into canonical form and expanded into expressions: the host as it is and its suffixes, each
+with the path and query, the path, and the path's prefixes; suffixes and prefixes are as deep as the deepest rule has labels and segments. A rule is such an expression. Both sides are hashed with
 SHA-256; they meet in an equi-join on the first four bytes of the digest, and the full digests confirm. Of the rules that a URL meets the one of highest
 priority decides; among equals the more specific one (longer host, then longer path), then "allow" before "block", then the smaller rule_id.
 
-Cost: only the URL column is read; a URL gives at most (MAX_SUFFIX + 1) * (MAX_PREFIX + 2) short rows, of a 4-byte prefix and the digest,
+Cost: only the URL column is read; a URL gives at most (labels of the deepest rule) * (segments of the deepest rule + 3) short rows, of a 4-byte prefix and the digest,
 and the rules have one each. Spark broadcasts the rules where their size allows it and otherwise shuffles both sides by prefix. Equal URLs are expanded once: pages of
 a URL find their verdict by a join on it.
 
@@ -13,7 +13,7 @@ Canonical form: white space around the URL and control characters go, the scheme
 path begins with "/", runs of "/" are one, "/./" and "/x/../" are resolved.
 
 Defined cases: a null URL, or one without a host, meets no rule: action "none". A host that is an IPv4 address has no suffixes. Rules with a null pattern or action are left out; repeated rules are harmless. Very long
-URLs are expanded like others, the prefixes being bounded by MAX_PREFIX as the method has it. Repeated page ids each get a row. An empty table of either side gives a defined result. Columns other than those named don't matter.
+URLs are expanded like others, the prefixes being bounded by the rules' depth. Repeated page ids each get a row. An empty table of either side gives a defined result. Columns other than those named don't matter.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Depths that do for RULES, used in VERDICTS_SQL; url_verdicts takes them from the rules that it is given.
 MAX_SUFFIX = 4
 MAX_PREFIX = 4
 #: (rule_id, pattern, action, priority): lists as an operator would keep them, by kind of host; a hosted path may be let through again.
@@ -72,15 +73,22 @@ def _resolved(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
 
 
-def expressions(host: Column, path: Column, query: Column) -> Column:
+def depths(rules: DataFrame) -> tuple[int, int]:
+    """(labels, segments) of the deepest host and of the deepest path prefix among rules (host, path, query); a prefix of k segments counts its leading slash as one."""
+    prefix = F.when((F.col("query") == "") & F.col("path").endswith("/"), F.size(F.split("path", "/")) - 1)
+    labels, segments = rules.agg(F.max(F.size(F.split("host", r"\."))), F.max(prefix)).first()
+    return max(labels or 0, 2), max(segments or 0, 1)
+
+
+def expressions(host: Column, path: Column, query: Column, most_labels: int, most_segments: int) -> Column:
     """array<struct<host, rest>> of a canonical URL."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.filter(F.sequence(F.lit(2), F.lit(MAX_SUFFIX + 1)), lambda k: k < n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    suffixes = F.transform(F.filter(F.sequence(F.lit(2), F.lit(most_labels)), lambda k: k < n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
     hosts = F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.array(host)).otherwise(F.array_distinct(F.concat(F.array(host), suffixes)))
     segments = F.split(path, "/")
     # "/", "/a/", "/a/b/", ...: prefixes that end with a slash
-    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.lit(MAX_PREFIX)), lambda k: k < F.size(segments)), lambda k: F.concat(F.array_join(F.slice(segments, 1, k), "/"), F.lit("/")))
+    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.lit(most_segments)), lambda k: k < F.size(segments)), lambda k: F.concat(F.array_join(F.slice(segments, 1, k), "/"), F.lit("/")))
     rests = F.array_distinct(F.concat(F.array(F.concat(path, query)), F.array(path), prefixes))
     return F.when(host.isNotNull(), F.flatten(F.transform(hosts, lambda h: F.transform(rests, lambda r: F.struct(h.alias("host"), r.alias("rest"))))))
 
@@ -96,12 +104,13 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     # few bytes and much work follow: as many tasks as the session has for a shuffle, whatever the size
     spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = seen.select("url").where("url IS NOT NULL").distinct().repartition(spread, "url").select("url", host.alias("host"), path.alias("path"), query.alias("query"))
-    expanded = parts.select("url", F.explode(expressions(F.col("host"), F.col("path"), F.col("query"))).alias("e")).select("url", F.concat("e.host", "e.rest").alias("expression"), F.length("e.host").alias("host_length"))
-    expanded = expanded.withColumn("digest", _digest(F.col("expression"))).withColumn("prefix", F.substring("digest", 1, 4))
     known = rules.where("pattern IS NOT NULL AND action IS NOT NULL")
     host, path, query = canonical(F.col("pattern"))
-    known = known.select(F.col("rule_id").alias("rule_id"), F.lower("action").alias("action"), F.coalesce("priority", F.lit(0)).alias("priority"), _digest(F.concat(host, path, query)).alias("rule_digest")).where("rule_digest IS NOT NULL")
-    known = known.withColumn("rule_prefix", F.substring("rule_digest", 1, 4))
+    known = known.select("rule_id", F.lower("action").alias("action"), F.coalesce("priority", F.lit(0)).alias("priority"), host.alias("host"), path.alias("path"), query.alias("query")).where("host IS NOT NULL")
+    deep = depths(known)
+    known = known.select("rule_id", "action", "priority", _digest(F.concat("host", "path", "query")).alias("rule_digest")).withColumn("rule_prefix", F.substring("rule_digest", 1, 4))
+    expanded = parts.select("url", F.explode(expressions(F.col("host"), F.col("path"), F.col("query"), *deep)).alias("e")).select("url", F.concat("e.host", "e.rest").alias("expression"), F.length("e.host").alias("host_length"))
+    expanded = expanded.withColumn("digest", _digest(F.col("expression"))).withColumn("prefix", F.substring("digest", 1, 4))
     met = expanded.join(known, (F.col("prefix") == F.col("rule_prefix")) & (F.col("digest") == F.col("rule_digest")))
     order = F.struct(-F.col("priority"), -F.col("host_length"), -F.length("expression"), F.col("action"), F.col("rule_id"))
     best = met.groupBy(F.col("url").alias("_url")).agg(F.min_by(F.struct("action", "rule_id", "expression"), order).alias("b"))

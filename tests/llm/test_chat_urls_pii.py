@@ -162,3 +162,16 @@ def test_whole_texts_across_windows(spark, tagger):
     n = len(texts)
     assert set(got) == {*range(n - 5), n - 2, None}
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_deep_rules_meet_the_urls_below_them(spark):
+    from pyspark.sql import functions as F
+
+    rules = spark.createDataFrame([(1, "b.c.d.e.example.org", "block", 1), (2, "example.com/a/b/c/d/e/", "block", 1)], "rule_id long, pattern string, action string, priority int")
+    urls = ["http://a.b.c.d.e.example.org/x", "http://b.c.d.e.example.org/x/y", "http://c.d.e.example.org/x", "http://example.com/a/b/c/d/e/f/g", "http://www.example.com/a/b/c/d/e/", "http://example.com/a/b/c/d/f"]
+    bare = rules.withColumn("pattern", F.when(F.col("rule_id") == 1, F.concat("pattern", F.lit("/"))).otherwise(F.col("pattern")))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in (rules, bare):
+        got = {x.page_id: x.rule_id for x in url_filter.url_verdicts(pages, r).collect()}
+        assert got == {0: 1, 1: 1, 2: None, 3: 2, 4: 2, 5: None}
+    assert {x.action for x in url_filter.url_verdicts(pages, rules.limit(0)).collect()} == {"none"}
