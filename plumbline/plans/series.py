@@ -85,6 +85,15 @@ def regular_grid(spark, sf_dir):
     return S.to_regular_grid(e, "t", "1 HOUR", ["v"], ["event_type"]).select("event_type", F.col("t").cast("timestamp_ntz").alias("t"), "v")
 
 
+@query("""
+WITH e AS (SELECT event_type, date_trunc('hour', ts) AS t, min(value) AS v FROM events GROUP BY ALL), s AS (SELECT event_type, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM e GROUP BY 1)
+SELECT s.event_type, s.t, last_value(e.v IGNORE NULLS) OVER (PARTITION BY s.event_type ORDER BY s.t) AS v FROM s LEFT JOIN e ON s.event_type = e.event_type AND s.t = e.t
+""")
+def regular_grid_all(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("t")).agg(F.min("value").alias("v"))
+    return S.to_regular_grid(e, "t", "1 HOUR", ["v"], ["event_type"]).select("event_type", F.col("t").cast("timestamp_ntz").alias("t"), "v")
+
+
 @query(f"""
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY i DESC) AS k FROM ({_DAILY}))
 SELECT event_type, CAST(step AS INTEGER) AS step, n AS forecast FROM d CROSS JOIN range(1, 11) t(step) WHERE k <= 7 AND (step - 1) % 7 = 7 - k

@@ -12,3 +12,9 @@ def test_every_part_is_adjusted(spark):
         assert len({x.p_partkey for x in r}) == len(r) == n > 200
         assert any(x.adjusted < 0.05 for x in r) and any(x.adjusted > 0.5 for x in r)
         assert all(x.adjusted >= x.p for x in r)
+
+
+def test_every_event_type_is_put_on_the_grid(spark):
+    want = {r.event_type for r in spark.read.parquet(f"{SF}/events.parquet").select("event_type").distinct().collect()}
+    assert len(want) == 5
+    assert {r.event_type for r in registry.QUERIES["regular_grid_all"](spark, SF).select("event_type").distinct().collect()} == want
