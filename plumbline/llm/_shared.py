@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,21 +24,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs nothing of it.
+
+    What is still there when the driver's process ends is deleted then; drop_written deletes a table earlier, once nothing reads it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _PATHS[path] = spark
+    if len(_PATHS) == 1:
+        atexit.register(_sweep)
+    df.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back._plumbline_path = path
     return back
 
 
-def drop_written(df: DataFrame) -> None:
+#: Tables that written() made and that nothing has deleted yet.
+_PATHS: dict[str, SparkSession] = {}
+
+
+def written_now() -> set[str]:
+    return set(_PATHS)
+
+
+def drop_paths(paths: Iterable[str]) -> None:
+    for path in list(paths):
+        spark = _PATHS.pop(path, None)
+        if spark is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_written(*tables: DataFrame) -> None:
     """Deletes what written() made, once nothing reads it any more."""
-    path = getattr(df, "_plumbline_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    drop_paths(t._plumbline_path for t in tables if getattr(t, "_plumbline_path", None))
+
+
+def _sweep() -> None:
+    for path in list(_PATHS):
+        try:
+            drop_paths([path])
+        except Exception:  # the session is gone already
+            return
+
+
+def checked_id(df: DataFrame, id_col: str) -> str:
+    """The type of the id column, which can be any that has an order and an Arrow form."""
+    return df.schema[id_col].dataType.simpleString()
 
 
 def process_cache() -> dict:

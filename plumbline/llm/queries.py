@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, exact_dedup, fingerprint, mixing, pii, quality, sentencepiece_codec, simhash, token_output, url_filter
+from ._shared import shared_dir, written
 
 
 def _table(name: str):
@@ -25,6 +28,13 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.training_sequences(documents(spark, sf_dir))
 
 
+def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of op2 written as shards to the shared folder, and read back by seeking: each slot with its shard's place and the digest of what was read."""
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    index = written(token_output.write_shards(op2_token_output(spark, sf_dir), path), "index")
+    return token_output.shards_read_back(index, path)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(conversations(spark, sf_dir))
 
@@ -57,5 +67,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.nearest_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_output, op3_chat_formatting, op4_personal_data, op5_quality_classifier, op6_url_filter, op7_sentencepiece, op8_exact_dedup, op9_mix_sources, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_output, token_shards, op3_chat_formatting, op4_personal_data, op5_quality_classifier, op6_url_filter, op7_sentencepiece, op8_exact_dedup, op9_mix_sources, op10_document_fingerprints)}
 ORACLE_SQL = {"op3_chat_formatting": chat.PERSPECTIVES_SQL, "op6_url_filter": url_filter.VERDICTS_SQL, "op8_exact_dedup": exact_dedup.DUPLICATES_SQL, "op9_mix_sources": mixing.MIX_SQL}

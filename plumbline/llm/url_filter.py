@@ -2,11 +2,15 @@
 
 A URL is put into canonical form and expanded into expressions: the host as it is and its suffixes, each
 with the path and query, the path, and the path's prefixes; suffixes and prefixes are as deep as the deepest rule has labels and segments. A rule is such an expression. Both sides are hashed with
-SHA-256; they meet in an equi-join on the first four bytes of the digest, and the full digests confirm. Of the rules that a URL meets the one of highest
+SHA-256; they meet in an equi-join on the first PREFIX_BYTES bytes of the digest, and what meets there is confirmed by the full digests afterwards: rules that share a prefix are one row, an array of
+candidates, in which each expression looks for its own digest. Of the rules that a URL meets the one of highest
 priority decides; among equals the more specific one (longer host, then longer path), then "allow" before "block", then the smaller rule_id.
 
+The rules of one expression come down to one (the first by priority, action and rule_id, which is the order that would decide between them), so a prefix has as many candidates
+as there are different expressions that share it: one, but for one in 2^(8 * PREFIX_BYTES) pairs.
+
 Cost: only the URL column is read; a URL gives at most (labels of the deepest rule) * (segments of the deepest rule + 3) short rows, of a 4-byte prefix and the digest,
-and the rules have one each. Spark broadcasts the rules where their size allows it and otherwise shuffles both sides by prefix. Equal URLs are expanded once: pages of
+and the rules have one each. Up to BROADCAST_RULES rules go to every task; of more, both sides are shuffled by prefix. Equal URLs are expanded once: pages of
 a URL find their verdict by a join on it.
 
 Canonical form: white space around the URL and control characters go, the scheme is dropped, likewise user, port and fragment; the host is in lower case without leading or trailing dots, the
@@ -18,9 +22,14 @@ URLs are expanded like others, the prefixes being bounded by the rules' depth. R
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PREFIX_BYTES = 4
+#: Rules up to this number are sent to every task.
+BROADCAST_RULES = 200_000
 #: Depths that do for RULES, used in VERDICTS_SQL; url_verdicts takes them from the rules that it is given.
 MAX_SUFFIX = 4
 MAX_PREFIX = 4
@@ -73,11 +82,17 @@ def _resolved(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
 
 
-def depths(rules: DataFrame) -> tuple[int, int]:
-    """(labels, segments) of the deepest host and of the deepest path prefix among rules (host, path, query); a prefix of k segments counts its leading slash as one."""
+class Depths(NamedTuple):
+    labels: int
+    segments: int
+    rules: int
+
+
+def depths(rules: DataFrame) -> Depths:
+    """Labels of the deepest host and segments of the deepest path prefix among rules (host, path, query), and their number; a prefix of k segments counts its leading slash as one."""
     prefix = F.when((F.col("query") == "") & F.col("path").endswith("/"), F.size(F.split("path", "/")) - 1)
-    labels, segments = rules.agg(F.max(F.size(F.split("host", r"\."))), F.max(prefix)).first()
-    return max(labels or 0, 2), max(segments or 0, 1)
+    labels, segments, n = rules.agg(F.max(F.size(F.split("host", r"\."))), F.max(prefix), F.count("*")).first()
+    return Depths(max(labels or 0, 2), max(segments or 0, 1), n)
 
 
 def expressions(host: Column, path: Column, query: Column, most_labels: int, most_segments: int) -> Column:
@@ -97,21 +112,26 @@ def _digest(expression: Column) -> Column:
     return F.unhex(F.sha2(expression, 256))
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
     """(page_id, url, action, rule_id, matched): the deciding rule of each page, with the expression it matched."""
     seen = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path, query = canonical(F.col("url"))
     # few bytes and much work follow: as many tasks as the session has for a shuffle, whatever the size
     spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = seen.select("url").where("url IS NOT NULL").distinct().repartition(spread, "url").select("url", host.alias("host"), path.alias("path"), query.alias("query"))
+    parts = seen.select("url").where("url IS NOT NULL").distinct().repartition(spread, F.xxhash64("url")).select("url", host.alias("host"), path.alias("path"), query.alias("query"))
     known = rules.where("pattern IS NOT NULL AND action IS NOT NULL")
     host, path, query = canonical(F.col("pattern"))
     known = known.select("rule_id", F.lower("action").alias("action"), F.coalesce("priority", F.lit(0)).alias("priority"), host.alias("host"), path.alias("path"), query.alias("query")).where("host IS NOT NULL")
     deep = depths(known)
-    known = known.select("rule_id", "action", "priority", _digest(F.concat("host", "path", "query")).alias("rule_digest")).withColumn("rule_prefix", F.substring("rule_digest", 1, 4))
-    expanded = parts.select("url", F.explode(expressions(F.col("host"), F.col("path"), F.col("query"), *deep)).alias("e")).select("url", F.concat("e.host", "e.rest").alias("expression"), F.length("e.host").alias("host_length"))
-    expanded = expanded.withColumn("digest", _digest(F.col("expression"))).withColumn("prefix", F.substring("digest", 1, 4))
-    met = expanded.join(known, (F.col("prefix") == F.col("rule_prefix")) & (F.col("digest") == F.col("rule_digest")))
+    known = known.select(_digest(F.concat("host", "path", "query")).alias("digest"), "rule_id", "action", "priority")
+    known = known.groupBy("digest").agg(F.min_by(F.struct("digest", "rule_id", "action", "priority"), F.struct(-F.col("priority"), "action", "rule_id")).alias("r"))
+    known = known.groupBy(F.substring("digest", 1, prefix_bytes).alias("rule_prefix")).agg(F.collect_list("r").alias("candidates"))
+    # a rule takes about 100 bytes; more of them than that meet the URLs in a merge join
+    known = F.broadcast(known) if deep.rules <= BROADCAST_RULES else known.hint("merge")
+    expanded = parts.select("url", F.explode(expressions(F.col("host"), F.col("path"), F.col("query"), deep.labels, deep.segments)).alias("e")).select("url", F.concat("e.host", "e.rest").alias("expression"), F.length("e.host").alias("host_length"))
+    expanded = expanded.withColumn("digest", _digest(F.col("expression"))).withColumn("prefix", F.substring("digest", 1, prefix_bytes))
+    met = expanded.join(known, F.col("prefix") == F.col("rule_prefix"))
+    met = met.select("url", "expression", "host_length", F.explode(F.filter("candidates", lambda c: c["digest"] == F.col("digest"))).alias("r")).select("url", "expression", "host_length", "r.rule_id", "r.action", "r.priority")
     order = F.struct(-F.col("priority"), -F.col("host_length"), -F.length("expression"), F.col("action"), F.col("rule_id"))
     best = met.groupBy(F.col("url").alias("_url")).agg(F.min_by(F.struct("action", "rule_id", "expression"), order).alias("b"))
     return seen.join(best, seen["url"] == best["_url"], "left").select("page_id", "url", F.coalesce("b.action", F.lit("none")).alias("action"), F.col("b.rule_id").alias("rule_id"), F.col("b.expression").alias("matched"))

@@ -101,11 +101,31 @@ def test_urls_against_brute_force(spark):
     assert url_filter.url_verdicts(pages.limit(0), table).count() == 0
 
 
-def test_short_prefixes_are_confirmed_by_the_digest():
-    from pyspark.sql import functions as F
-
-    assert hashlib.sha256(b"a.example.com/p").digest()[:4] != hashlib.sha256(b"a.example.com/q").digest()[:4]
-    assert F.sha2 is not None
+@pytest.mark.parametrize("prefix_bytes", [1, 4])
+def test_short_prefixes_are_confirmed_by_the_digest(spark, prefix_bytes, capsys):
+    import collections
+
+    hosts = [f"host{k}.example.com" for k in range(600)]
+    first = collections.Counter(hashlib.sha256(f"{h}/".encode()).digest()[:1] for h in hosts)
+    assert max(first.values()) > 3  # many collide in one byte
+    rules = spark.createDataFrame([(k, h, "block", 0) for k, h in enumerate(hosts[::2])] + [(900, hosts[0], "allow", 0), (901, hosts[2], "block", 7)], url_filter._RULE)
+    pages = spark.createDataFrame([(k, f"http://{h}/") for k, h in enumerate(hosts)], "page_id long, url string")
+    out = url_filter.url_verdicts(pages, rules, prefix_bytes=prefix_bytes)
+    got = {r.page_id: (r.action, r.rule_id) for r in out.collect()}
+    want = {k: ("block", k // 2) if k % 2 == 0 else ("none", None) for k in range(600)} | {0: ("allow", 900), 2: ("block", 901)}
+    assert got == want
+    out.explain()
+    joins = [x for x in capsys.readouterr().out.splitlines() if "Join" in x and "rule_prefix" in x]
+    assert joins and not any("digest" in x for x in joins)
+
+
+def test_many_rules_are_not_broadcast(spark, monkeypatch, capsys):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 2)
+    pages = spark.createDataFrame([(1, "http://thther.example.org/a"), (2, "http://spam-farm.example.org/x")], "page_id long, url string")
+    out = url_filter.url_verdicts(pages, url_filter.default_rules(spark))
+    assert {(r.page_id, r.action) for r in out.collect()} == {(1, "allow"), (2, "block")}
+    out.explain()
+    assert any("SortMergeJoin" in x and "rule_prefix" in x for x in capsys.readouterr().out.splitlines())
 
 
 @pytest.fixture(scope="module")
