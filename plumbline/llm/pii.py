@@ -2,13 +2,16 @@
 
 Every character of every text is read by both directions; their states give a score for each tag (none, or a kind of personal data),
 and Viterbi decoding with learned transitions picks the best sequence of tags. Texts are laid out in windows of WINDOW characters that overlap by
-OVERLAP. Where two windows overlap, both have decoded the same characters; they are reconciled by handing over from one to the other at the
-place nearest to the middle where both see nothing, so no span is cut or counted twice, and spans are then read off the whole document. A span that lacks
-what its kind can't be without (plausible) is dropped.
+OVERLAP. Where two windows overlap, the scores of both are blended, each weighing the more the farther its own end is, and the best tags are then those of the whole document under
+one CRF: no window decides anything for itself, so no span is cut, counted twice or given two kinds. That decoding is exact, though it doesn't walk the whole text: for every character a bound tells what the best
+run of tags over it can gain against none at all (two running minima over the document); where that is below zero the best sequence has no tag, and the islands that remain are
+decoded one by one, side by side. A span that lacks what its kind can't be without (plausible) is dropped.
 
-The model is trained here from labelled spans: texts composed by training_texts (invented prose, junk and look-alikes, with spans of
+The model is trained here from labelled spans: those given to train (labelled), or texts composed by training_texts (invented prose, junk and look-alikes, with spans of
 personal data whose places are known), by backpropagation through time and the CRF's forward-backward algorithm. Training takes TRAIN_STEPS steps of a fixed seed on the
-driver, once in a process; the model (20 kB) travels with the tasks.
+driver (about a minute of one core) and is kept in the shared folder under a name made of its parameters, so sessions that share the folder train once; the model (20 kB) travels with the tasks.
+
+Padding has no state in either direction, so a text's tags don't depend on what shares its batch.
 
 Cost: one pass over the text without a shuffle, about 0.3 microseconds a character.
 
@@ -20,15 +23,16 @@ from __future__ import annotations
 
 import random
 import string
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import process_cache
+from ._shared import process_cache, shared_dir
 
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID"]
 TAGS = len(KINDS) + 1
@@ -38,7 +42,7 @@ WINDOW = 512
 OVERLAP = 64
 #: Characters in a batch of windows.
 BATCH_CHARS = 1 << 20
-TRAIN_STEPS = 600
+TRAIN_STEPS = 1200
 TRAIN_BATCH = 64
 TRAIN_LENGTH = 96
 SEED = 11
@@ -239,8 +243,11 @@ class Tagger:
     trans: np.ndarray
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(T, tags, B) of ids (B, T), in float32. Padding, at the ends of rows, keeps the state at zero."""
+        """(T, tags, B) of ids (B, T), in float32. Padding is at the ends of rows, of which the shorter come first; it keeps the state at zero."""
         b, t = ids.shape
+        full = np.count_nonzero(ids, axis=1)
+        # at column k the first short[k] rows are padding
+        short = np.searchsorted(full, np.arange(t), side="right")
         h = self.loops.shape[1]
         out = np.empty((t, TAGS, b), np.float32)
         out[:] = self.bias[None, :, None]
@@ -266,33 +273,75 @@ class Tagger:
                 cell *= 0.5
                 np.tanh(cell, out=one)
                 np.multiply(gates[2 * h : 3 * h], one, out=state)
+                if d and short[k]:
+                    state[:, : short[k]] = 0
+                    cell[:, : short[k]] = 0
                 np.matmul(project, state, out=emit)
                 out[k] += emit
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """(B, T) best tags. Rows that can't have a tag are left out of the search."""
-        score = self.emissions(ids)
-        open_ = np.flatnonzero(self._gain(score) > -1e-3)
-        tags = np.zeros(ids.shape, np.uint8)
-        if len(open_):
-            tags[open_] = self._viterbi(np.ascontiguousarray(score[:, :, open_]))
+        """(B, T) best tags of rows, each searched in whole."""
+        order = np.argsort(np.count_nonzero(ids, axis=1), kind="stable")
+        tags = np.empty(ids.shape, np.uint8)
+        tags[order] = self._viterbi(self.emissions(ids[order]))
         return tags
 
-    def _gain(self, score: np.ndarray) -> np.ndarray:
-        """A bound, for each row, on what one run of tags can gain over none at all: below zero, every path with tags scores less than the one without, as runs
-        that none parts gain on their own. Transitions into, within and out of a run count at their best; a run at an end of the row has none there."""
-        t00 = self.trans[0, 0]
+    def islands(self, lead: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last + 1) of the stretches in which the best tags may be other than none. Documents lie side by side and begin at begin; lead is at most the score of none less the best of the others.
+
+        A run of tags from i to j, none before and after it, gains at most enter[i] - sum(lead[i..j]) + (j - i) * inside + leave[j] against none at all, where transitions into, within and out of it count at their
+        best, and those at a document's ends not at all. The best such bound over all runs across k is the best start up to k and the best end from k on, in sums from the document's begin: two running maxima."""
+        n, t00 = len(lead), self.trans[0, 0]
         into, inside, out = float((self.trans[0, 1:] - t00).max()), float((self.trans[1:, 1:] - t00).max()), float((self.trans[1:, 0] - t00).max())
-        lead = score[:, 0] - score[:, 1:].max(axis=1)
-        run = -lead[0]
-        most = np.full_like(run, -np.inf)
-        for k in range(1, len(lead)):
-            np.maximum(most, run, out=most)
-            run += inside
-            np.maximum(run, into, out=run)
-            run -= lead[k]
-        return np.maximum(most + out, run)
+        starts = np.zeros(n, bool)
+        starts[begin] = True
+        ends = np.append(starts[1:], True)
+        size = np.diff(np.append(begin, n))
+        step = inside - lead.astype(np.float64)
+        upto = np.cumsum(step)
+        upto -= np.repeat(upto[begin] - step[begin], size)
+        start = np.where(starts, 0.0, into) - (upto - step)
+        end = upto + np.where(ends, 0.0, out)
+        # a wall between documents, higher than any difference
+        wall = np.repeat(np.arange(len(begin)) * (float(max(np.ptp(start), np.ptp(end))) + 1), size)
+        start += wall
+        end -= wall
+        bound = np.maximum.accumulate(start, out=start)
+        bound += np.maximum.accumulate(end[::-1], out=end[::-1])[::-1]
+        some = bound > inside - 1e-2
+        first = np.flatnonzero(some & (starts | ~np.append(False, some[:-1])))
+        last = np.flatnonzero(some & (ends | ~np.append(some[1:], False)))
+        return first, last + 1
+
+    def best_tags(self, lead: np.ndarray, begin: np.ndarray, scores) -> np.ndarray:
+        """The best tags of documents side by side; scores(places) gives the scores (tags, ...) there."""
+        n = len(lead)
+        tags = np.zeros(n, np.uint8)
+        first, last = self.islands(lead, begin)
+        size = last - first
+        order = np.argsort(size, kind="stable")
+        opens, ends = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        opens[begin], ends[np.append(begin[1:], n)] = True, True
+        lo = 0
+        while lo < len(order):
+            least = int(size[order[lo]])
+            hi = min(int(np.searchsorted(size[order], 1.25 * least + 4, side="right")), lo + max(16, BATCH_CHARS // (2 * least + 8)))
+            pick = order[lo:hi]
+            # the columns beyond an island have no tag, and one at least is there to leave to
+            width = int(size[pick].max()) + 1
+            at = first[pick, None] + np.arange(width)
+            rest = np.arange(width) >= size[pick, None]
+            score = scores(np.where(rest, first[pick, None], at))
+            score[1:, rest] = -1e9
+            score[0, rest] = 0
+            score[:, :, 0] += np.where(opens[first[pick]], 0, self.trans[0][:, None])
+            closed = np.flatnonzero(ends[last[pick]])
+            score[:, closed, size[pick[closed]] - 1] -= self.trans[:, :1]
+            got = self._viterbi(np.ascontiguousarray(score.transpose(2, 0, 1)))
+            tags[at[~rest]] = got[~rest]
+            lo = hi
+        return tags
 
     def _viterbi(self, score: np.ndarray) -> np.ndarray:
         t, _, b = score.shape
@@ -317,46 +366,60 @@ class Tagger:
         return tags.T
 
 
-def _lstm(ids, table, loop, reverse):
-    """Forward pass that keeps what backpropagation needs; arrays (T, B, .)."""
-    b, t = ids.shape
-    h = loop.shape[0]
-    act, cells, states = np.zeros((t, b, 4 * h), np.float32), np.zeros((t + 1, b, h), np.float32), np.zeros((t + 1, b, h), np.float32)
-    order = range(t - 1, -1, -1) if reverse else range(t)
-    for s, k in enumerate(order):
-        g = table[ids[:, k]] + states[s] @ loop
-        a = np.tanh(g)
-        a[:, : 3 * h] = (a[:, : 3 * h] + 1) / 2
-        act[s] = a
-        cells[s + 1] = a[:, h : 2 * h] * cells[s] + a[:, :h] * a[:, 3 * h :]
-        states[s + 1] = a[:, 2 * h : 3 * h] * np.tanh(cells[s + 1])
-    return act, cells, states, list(order)
-
-
-def _lstm_back(ids, loop, kept, dstates):
-    """Gradients of the table and the loop, from those of the states (T in processing order)."""
-    act, cells, states, order = kept
-    t, b, h4 = act.shape
+def _lstm(ids, tables, loops):
+    """Forward pass of both directions side by side, which keeps what backpropagation needs. ids (2, B, T) in each direction's order; arrays (T, 2, B, .)."""
+    _, b, t = ids.shape
+    h = loops.shape[1]
+    given = np.ascontiguousarray(np.stack([tables[d][ids[d]] for d in range(2)]).transpose(2, 0, 1, 3))
+    there = np.ascontiguousarray((ids != PAD).astype(np.float32).transpose(2, 0, 1))[..., None]
+    act, cells, states = np.empty((t, 2, b, 4 * h), np.float32), np.zeros((t + 1, 2, b, h), np.float32), np.zeros((t + 1, 2, b, h), np.float32)
+    tanhs = np.empty((t, 2, b, h), np.float32)
+    for s in range(t):
+        a = act[s]
+        np.matmul(states[s], loops, out=a)
+        a += given[s]
+        np.tanh(a, out=a)
+        a[..., : 3 * h] += 1
+        a[..., : 3 * h] *= 0.5
+        cells[s + 1] = (a[..., h : 2 * h] * cells[s] + a[..., :h] * a[..., 3 * h :]) * there[s]
+        np.tanh(cells[s + 1], out=tanhs[s])
+        np.multiply(a[..., 2 * h : 3 * h], tanhs[s], out=states[s + 1])
+    return act, cells, states, tanhs, there
+
+
+def _lstm_back(ids, loops, kept, dstates):
+    """Gradients of the tables and the loops, from those of the states (T, 2, B, h)."""
+    act, cells, states, tanhs, there = kept
+    t, _, b, h4 = act.shape
     h = h4 // 4
-    dg_all = np.zeros((t, b, h4), np.float32)
-    dh, dc = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
+    dg_all = np.empty((t, 2, b, h4), np.float32)
+    i, f, o, c = (act[..., k * h : (k + 1) * h] for k in range(4))
+    # halves: the derivative of s(x) = (1 + tanh(g)) / 2 by g is 2 s (1 - s)
+    by_i, by_f, by_o, by_c = c * 2 * i * (1 - i), cells[:-1] * 2 * f * (1 - f), tanhs * 2 * o * (1 - o), i * (1 - c * c)
+    through = o * (1 - tanhs * tanhs)
+    dh, dc = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
+    back = np.ascontiguousarray(loops.transpose(0, 2, 1))
     for s in range(t - 1, -1, -1):
-        a, tc = act[s], np.tanh(cells[s + 1])
-        i, f, o, c = a[:, :h], a[:, h : 2 * h], a[:, 2 * h : 3 * h], a[:, 3 * h :]
-        dh = dh + dstates[s]
-        dc = dc + dh * o * (1 - tc * tc)
-        # halves: the derivative of s(x) = (1 + tanh(g)) / 2 by g is 2 s (1 - s)
-        dg = np.concatenate([dc * c * 2 * i * (1 - i), dc * cells[s] * 2 * f * (1 - f), dh * tc * 2 * o * (1 - o), dc * i * (1 - c * c)], axis=1)
-        dg_all[s] = dg
-        dh, dc = dg @ loop.T, dc * f
+        dh += dstates[s]
+        dh *= there[s]
+        dc *= there[s]
+        dc += dh * through[s]
+        dg = dg_all[s]
+        np.multiply(dc, by_i[s], out=dg[..., :h])
+        np.multiply(dc, by_f[s], out=dg[..., h : 2 * h])
+        np.multiply(dh, by_o[s], out=dg[..., 2 * h : 3 * h])
+        np.multiply(dc, by_c[s], out=dg[..., 3 * h :])
+        dh = dg @ back
+        dc *= f[s]
     # products of small matrices, summed: one large product would wake the library's threads for little
-    dloop = (states[:-1].transpose(0, 2, 1) @ dg_all).sum(axis=0)
-    seen = ids[:, order].T.reshape(-1)
-    by_char = np.argsort(seen, kind="stable")
-    begin = np.flatnonzero(np.diff(seen[by_char].astype(np.int64), prepend=-1))
-    table = np.zeros((VOCABULARY, h4), np.float32)
-    table[seen[by_char[begin]]] = np.add.reduceat(dg_all.reshape(-1, h4)[by_char], begin)
-    return table, dloop
+    dloops = (states[:-1].transpose(0, 1, 3, 2) @ dg_all).sum(axis=0)
+    tables = np.zeros((2, VOCABULARY, h4), np.float32)
+    for d in range(2):
+        seen = ids[d].T.reshape(-1)
+        by_char = np.argsort(seen, kind="stable")
+        begin = np.flatnonzero(np.diff(seen[by_char].astype(np.int64), prepend=-1))
+        tables[d, seen[by_char[begin]]] = np.add.reduceat(dg_all[:, d].reshape(-1, h4)[by_char], begin)
+    return tables, dloops
 
 
 def _crf(score, tags, trans):
@@ -364,12 +427,15 @@ def _crf(score, tags, trans):
     t, b, n = score.shape
     alpha, beta = np.empty_like(score), np.zeros_like(score)
     alpha[0] = score[0]
-    lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
+    # sums over the tag before and over the tag after, side by side
+    steps = np.exp(np.stack([trans, trans.T]))
     for k in range(1, t):
-        alpha[k] = score[k] + lse(alpha[k - 1][:, :, None] + trans[None], 1)
-    for k in range(t - 2, -1, -1):
-        beta[k] = lse((beta[k + 1] + score[k + 1])[:, None, :] + trans[None], 2)
-    z = lse(alpha[-1], 1)
+        x = np.stack([alpha[k - 1], beta[t - k] + score[t - k]])
+        top = x.max(axis=2, keepdims=True)
+        y = np.log(np.exp(x - top) @ steps) + top
+        alpha[k], beta[t - 1 - k] = score[k] + y[0], y[1]
+    top = alpha[-1].max(axis=1)
+    z = top + np.log(np.exp(alpha[-1] - top[:, None]).sum(axis=1))
     p = np.exp(alpha + beta - z[None, :, None])
     rows = np.arange(b)
     gold = sum(score[k, rows, tags[:, k]] for k in range(t)) + sum(trans[tags[:, k - 1], tags[:, k]] for k in range(1, t))
@@ -382,10 +448,23 @@ def _crf(score, tags, trans):
     return (z - gold).mean(), dscore / b, dtrans / b
 
 
-def train(steps: int = TRAIN_STEPS, seed: int = SEED, hidden: int = HIDDEN, batch: int = TRAIN_BATCH, length: int = TRAIN_LENGTH, pool: int = 80) -> Tagger:
-    """Fits the tagger to composed texts; a pool of them is drawn once and gone through in random batches."""
+def windows_of(labelled: Sequence[tuple[str, Sequence[tuple[int, int, str]]]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, tags) in rows of `length` characters of texts with their spans (begin, end, kind)."""
+    ids, tags = [], []
+    for text, found in labelled:
+        x, y = char_ids(text), np.zeros(len(text), np.uint8)
+        for a, e, kind in found:
+            y[a:e] = KINDS.index(kind) + 1
+        for k in range(0, len(x), length):
+            ids.append(np.pad(x[k : k + length], (0, max(0, k + length - len(x)))))
+            tags.append(np.pad(y[k : k + length], (0, max(0, k + length - len(x)))))
+    return np.array(ids, np.uint8), np.array(tags, np.uint8)
+
+
+def train(steps: int = TRAIN_STEPS, seed: int = SEED, hidden: int = HIDDEN, batch: int = TRAIN_BATCH, length: int = TRAIN_LENGTH, pool: int = 80, labelled: Sequence[tuple[str, Sequence[tuple[int, int, str]]]] | None = None) -> Tagger:
+    """Fits the tagger to labelled texts, or to composed ones; the latter, a pool of them, are drawn once. Random batches go through either."""
     rng = np.random.default_rng(seed)
-    ids_all, tags_all = training_texts(Dice(seed), pool * batch, length)
+    ids_all, tags_all = windows_of(labelled, length) if labelled else training_texts(Dice(seed), pool * batch, length)
     w = {"e": rng.normal(size=(VOCABULARY, EMBED)) * 0.5} | {f"x{d}": rng.normal(size=(EMBED, 4 * hidden)) * 0.4 for d in range(2)} | {f"l{d}": rng.normal(size=(hidden, 4 * hidden)) / np.sqrt(hidden) / 2 for d in range(2)} | {f"o{d}": rng.normal(size=(hidden, TAGS)) * 0.3 for d in range(2)} | {"b": np.zeros(TAGS), "t": np.zeros((TAGS, TAGS))}
     w = {k: x.astype(np.float32) for k, x in w.items()}
     w["e"][:, 0] = 1
@@ -395,17 +474,19 @@ def train(steps: int = TRAIN_STEPS, seed: int = SEED, hidden: int = HIDDEN, batc
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(ids_all), batch)
         ids, tags = ids_all[pick], tags_all[pick]
-        kept = [_lstm(ids, w["e"] @ w[f"x{d}"], w[f"l{d}"], d == 1) for d in range(2)]
-        score = w["b"] + kept[0][2][1:] @ w["o0"] + (kept[1][2][1:] @ w["o1"])[::-1]
+        both, loops = np.stack([ids, ids[:, ::-1]]), np.stack([w["l0"], w["l1"]])
+        kept = _lstm(both, [w["e"] @ w[f"x{d}"] for d in range(2)], loops)
+        states = kept[2][1:]
+        score = w["b"] + states[:, 0] @ w["o0"] + (states[:, 1] @ w["o1"])[::-1]
         _, ds, dt = _crf(score, tags, w["t"])
         g = {"t": dt, "b": ds.sum(axis=(0, 1)), "e": np.zeros_like(w["e"])}
+        own = [ds, ds[::-1]]
+        tables, dloops = _lstm_back(both, loops, kept, np.stack([own[d] @ w[f"o{d}"].T for d in range(2)], axis=1))
         for d in range(2):
-            own = ds if d == 0 else ds[::-1]
-            states = kept[d][2][1:]
-            g[f"o{d}"] = (states.transpose(0, 2, 1) @ own).sum(axis=0)
-            table, g[f"l{d}"] = _lstm_back(ids, w[f"l{d}"], kept[d], own @ w[f"o{d}"].T)
-            g[f"x{d}"] = w["e"].T @ table
-            g["e"] += table @ w[f"x{d}"].T
+            g[f"o{d}"] = (states[:, d].transpose(0, 2, 1) @ own[d]).sum(axis=0)
+            g[f"l{d}"] = dloops[d]
+            g[f"x{d}"] = w["e"].T @ tables[d]
+            g["e"] += tables[d] @ w[f"x{d}"].T
         norm = float(np.sqrt(sum((x * x).sum() for x in g.values())))
         rate = 0.02 * min(1, step / 20) * (0.02 + 0.98 * 0.5 * (1 + np.cos(np.pi * step / steps)))
         for k, x in g.items():
@@ -417,78 +498,131 @@ def train(steps: int = TRAIN_STEPS, seed: int = SEED, hidden: int = HIDDEN, batc
     return Tagger(w["e"].astype(f), np.stack([w["x0"], w["x1"]]).astype(f), np.stack([w["l0"], w["l1"]]).astype(f), np.stack([w["o0"], w["o1"]]).astype(f), w["b"].astype(f), w["t"].astype(f))
 
 
-def default_tagger() -> Tagger:
+#: Part of a kept model's name; changes with what training does.
+VERSION = 2
+
+
+def to_bytes(model: Tagger) -> bytes:
+    import io
+
+    out = io.BytesIO()
+    np.savez(out, **vars(model))
+    return out.getvalue()
+
+
+def from_bytes(raw: bytes) -> Tagger:
+    import io
+
+    return Tagger(**np.load(io.BytesIO(raw), allow_pickle=False))
+
+
+def default_tagger(spark: SparkSession | None = None) -> Tagger:
+    """The tagger of the default training, made once: kept in the process and, where a session is given, in its shared folder."""
     cache = process_cache()
-    if "tagger" not in cache:
+    if "tagger" in cache:
+        return cache["tagger"]
+    if spark is None:
         cache["tagger"] = train()
+        return cache["tagger"]
+    path = f"{shared_dir(spark)}/tagger-{VERSION}-{SEED}-{TRAIN_STEPS}-{HIDDEN}-{EMBED}-{TRAIN_BATCH}-{TRAIN_LENGTH}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        # written aside and renamed: what is there is whole, and who comes second leaves it
+        aside = f"{path}-{uuid.uuid4().hex}"
+        spark.createDataFrame([(bytearray(to_bytes(train())),)], "model binary").coalesce(1).write.parquet(aside)
+        if fs.exists(at) or not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), at):
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
+    cache["tagger"] = from_bytes(bytes(spark.read.schema("model binary").parquet(path).first()[0]))
     return cache["tagger"]
 
 
 # ---------------------------------------------------------------- whole documents
 
 
-def tag_documents(model: Tagger, rows: list[np.ndarray]) -> list[np.ndarray]:
+def tag_documents(model: Tagger, rows: list[np.ndarray], window: int = WINDOW, overlap: int = OVERLAP) -> list[np.ndarray]:
     """Tags of each row of character ids, however long. Windows of similar length share a batch."""
-    stride = WINDOW - OVERLAP
-    starts, owner = [], []
-    for i, x in enumerate(rows):
-        n = max(1, -(-(len(x) - OVERLAP) // stride))
-        starts.append(np.arange(n) * stride)
-        owner.append(np.full(n, i))
-    starts, owner = np.concatenate(starts), np.concatenate(owner)
+    rows_all, rows = rows, [x for x in rows if len(x)]
+    if not rows:
+        return [np.zeros(0, np.uint8) for _ in rows_all]
+    stride = window - overlap
     size = np.array([len(x) for x in rows])
-    length = np.minimum(WINDOW, size[owner] - starts)
-    flat = np.concatenate([*rows, np.zeros(WINDOW, np.uint8)])
-    base = (np.cumsum(size) - size)[owner] + starts
+    begin = np.cumsum(size) - size
+    n = np.maximum(1, -(-(size - overlap) // stride))
+    owner = np.repeat(np.arange(len(rows)), n)
+    first_window = np.cumsum(n) - n
+    place = np.arange(len(owner)) - first_window[owner]
+    starts = place * stride
+    length = np.minimum(window, size[owner] - starts)
+    flat = np.concatenate([*rows, np.zeros(window, np.uint8)])
+    base = begin[owner] + starts
     order = np.argsort(length, kind="stable")
-    tags = np.zeros((len(starts), WINDOW), np.uint8)
+    # the share that a window's scores have in the overlap with the next one falls from 1 to 0
+    fall = (1 - (np.arange(overlap) + 0.5) / overlap).astype(np.float32)
+    lead = np.zeros(int(size.sum()), np.float32)
+    batch_of, column_of, kept = np.empty(len(owner), np.int32), np.empty(len(owner), np.int32), []
     lo = 0
     while lo < len(order):
-        # as many windows as fit, and none that would be more than half padding
+        # as many windows as fit, and none that would be more than a quarter padding
         width = max(8, int(length[order[lo]]))
         most = int(np.searchsorted(length[order], 1.25 * width + 8, side="right"))
         hi = min(most, lo + max(64, BATCH_CHARS // max(8, int(1.25 * width + 8))))
         pick = order[lo:hi]
-        width = max(1, int(length[pick].max()))
+        width = int(length[pick].max())
         ids = flat[base[pick, None] + np.arange(width)]
-        ids[np.arange(width) >= length[pick, None]] = PAD
-        tags[pick, :width] = model.decode(ids)
+        there = np.arange(width) < length[pick, None]
+        ids[~there] = PAD
+        score = model.emissions(ids)
+        batch_of[pick], column_of[pick] = len(kept), np.arange(len(pick))
+        kept.append(score)
+        ahead = np.ascontiguousarray((score[:, 0] - score[:, 1:].max(axis=1)).T)
+        inner, followed = place[pick] > 0, place[pick] + 1 < n[owner[pick]]
+        if inner.any():
+            ahead[inner, :overlap] *= fall[::-1]
+        if followed.any():
+            ahead[followed, stride:window] *= fall
+        # every other window of a document, and then the rest: no two of either overlap
+        for odd in (0, 1):
+            some = np.flatnonzero(place[pick] % 2 == odd)
+            if len(some):
+                at = base[pick[some], None] + np.arange(width)
+                lead[at[there[some]]] += ahead[some][there[some]]
         lo = hi
-    out = []
-    at = 0
-    for i in range(len(rows)):
-        n = 1
-        while at + n < len(owner) and owner[at + n] == i:
-            n += 1
-        out.append(_reconciled(tags[at : at + n], starts[at : at + n], len(rows[i])))
-        at += n
-    return out
-
 
-def _reconciled(tags: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    if len(starts) == 1:
-        return tags[0, :size]
-    out = np.zeros(size, np.uint8)
-    middle = OVERLAP // 2
-    away = np.abs(np.arange(OVERLAP) - middle)
-    begin = 0
-    for k in range(len(starts)):
-        if k + 1 < len(starts):
-            room = min(OVERLAP, size - int(starts[k + 1]))
-            a, b = tags[k, WINDOW - OVERLAP :][:room], tags[k + 1, :room]
-            free = (a == 0) & (b == 0)
-            cut = int(np.where(free, away[:room], 1000).argmin()) if free.any() else min(middle, room)
-            end = int(starts[k + 1]) + cut
-        else:
-            end = size
-        out[begin:end] = tags[k, begin - starts[k] : end - starts[k]]
-        begin = end
-    return out
+    def scores(at: np.ndarray) -> np.ndarray:
+        shape, at = at.shape, at.reshape(-1)
+        doc = np.searchsorted(begin, at, side="right") - 1
+        inside = at - begin[doc]
+        k = np.minimum(inside // stride, n[doc] - 1)
+        t = inside - k * stride
+        out = np.empty((TAGS, len(at)), np.float32)
+
+        def take(some: np.ndarray, w: np.ndarray, t: np.ndarray) -> np.ndarray:
+            got = np.empty((len(some), TAGS), np.float32)
+            batch = batch_of[w]
+            for b in np.unique(batch):
+                mine = batch == b
+                got[mine] = kept[b][t[mine], :, column_of[w[mine]]]
+            return got.T
+
+        w = first_window[doc] + k
+        out[:] = take(at, w, t)
+        both = np.flatnonzero((k > 0) & (t < overlap))
+        if len(both):
+            share = fall[t[both]]
+            out[:, both] = out[:, both] * (1 - share) + take(at[both], w[both] - 1, t[both] + stride) * share
+        return out.reshape(TAGS, *shape)
+
+    tags = model.best_tags(lead, begin, scores)
+    found = iter(np.split(tags, begin[1:]))
+    return [next(found) if len(x) else np.zeros(0, np.uint8) for x in rows_all]
 
 
 def spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(begin, end, kind) of the runs of one tag other than none."""
-    edge = np.flatnonzero(np.append(True, tags[1:] != tags[:-1])) if len(tags) else np.zeros(0, np.int64)
+    if not len(tags):
+        return []
+    edge = np.flatnonzero(np.append(True, tags[1:] != tags[:-1]))
     ends = np.append(edge[1:], len(tags))
     return [(int(a), int(b), int(tags[a]) - 1) for a, b in zip(edge, ends, strict=True) if tags[a]]
 
@@ -544,7 +678,7 @@ def _finder(model: Tagger):
 
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Tagger | None = None) -> DataFrame:
     """(doc_id, spans, redacted) of every document that has personal data: its spans in order, and the text with each replaced by its kind."""
-    model = model or default_tagger()
+    model = model or default_tagger(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND text <> ''")
     kind = slim.schema[0].dataType.simpleString()
     return slim.mapInArrow(_finder(model), f"doc_id {kind}, spans array<struct<span_begin:int,span_end:int,kind:string,found:string>>, redacted string")

@@ -166,6 +166,66 @@ def test_viterbi_against_all_paths(tagger):
     assert tagger.decode(ids)[0].tolist() == list(best)
 
 
+def composed(seed, n):
+    """Texts of many lengths with personal data in them."""
+    dice = pii.Dice(seed)
+    out = []
+    for k in range(n):
+        text = ""
+        while len(text) < [3, 40, 300, 520, 700, 1500, 4000][k % 7]:
+            u = dice.random()
+            text += ("".join(pii.personal(dice, dice.choice(pii.KINDS))) if u < 0.05 else pii.look_alike(dice) if u < 0.1 else pii._word(dice)) + " "
+        out.append(text)
+    return out
+
+
+def one_pass(model, text):
+    """The best tags of a whole text: windows one at a time, their scores blended, one Viterbi search through all of it."""
+    ids = pii.char_ids(text)
+    stride, fall = pii.WINDOW - pii.OVERLAP, 1 - (np.arange(pii.OVERLAP) + 0.5) / pii.OVERLAP
+    score, n = np.zeros((len(ids), pii.TAGS)), max(1, -(-(len(ids) - pii.OVERLAP) // stride))
+    for k in range(n):
+        part = model.emissions(ids[None, k * stride : k * stride + pii.WINDOW])[:, :, 0]
+        w = np.ones(len(part))
+        if k:
+            w[: pii.OVERLAP] = fall[::-1]
+        if k + 1 < n:
+            w[stride:] = fall
+        score[k * stride : k * stride + len(part)] += w[:, None] * part
+    return model._viterbi(score[:, :, None].astype(np.float32))[0]
+
+
+def test_windows_against_one_pass(tagger):
+    texts = composed(5, 70) + ["x", "1", "a@b.com", "4711 0815 1234 5678", ""]
+    got = pii.tag_documents(tagger, [pii.char_ids(t) for t in texts])
+    some = 0
+    for t, tags in zip(texts, got, strict=True):
+        want = one_pass(tagger, t) if t else np.zeros(0, np.uint8)
+        assert tags.tolist() == want.tolist(), t
+        some += len(pii.spans(tags))
+    assert some > 100
+
+
+def test_tags_do_not_depend_on_the_batch(tagger):
+    texts = composed(8, 60)
+    together = pii.tag_documents(tagger, [pii.char_ids(t) for t in texts])
+    for t, tags in zip(texts, together, strict=True):
+        assert pii.tag_documents(tagger, [pii.char_ids(t)])[0].tolist() == tags.tolist()
+
+
+def test_a_kept_tagger_is_the_same(spark, tagger):
+    back = pii.from_bytes(pii.to_bytes(tagger))
+    assert all((a == b).all() for a, b in zip(vars(back).values(), vars(tagger).values(), strict=True))
+
+
+def test_own_labelled_spans():
+    texts = [(f"the key of box {k} is K-{k:05d} as agreed", [(len(f"the key of box {k} is "), len(f"the key of box {k} is ") + 7, "ID")]) for k in range(300)]
+    model = pii.train(steps=150, labelled=texts)
+    new = [f"the key of box {k} is K-{k:05d} as agreed" for k in range(40_000, 40_100)]
+    got = [pii.spans(x) for x in pii.tag_documents(model, [pii.char_ids(t) for t in new])]
+    assert sum(x == [(len("the key of box 40000 is "), len("the key of box 40000 is ") + 7, pii.KINDS.index("ID"))] for x in got) > 90
+
+
 def test_whole_texts_across_windows(spark, tagger):
     mail, card = "anna.b42@mail7.example.com", "4711 0815 1234 5678"
     filler = "The men went on to the other side of the river and came back. "
