@@ -17,7 +17,7 @@ cost one comparison. For each document only its best partner leaves a task.
 Cost: the text is read once, in numpy. Documents meet by range of lengths, so a digest is shuffled once or twice, and once more for every CELL documents of its range. Comparisons, of a few nanoseconds each,
 grow with the square of the documents of like length; bands of equal codes would spare few of them, as at this bound a band has but four buckets.
 
-Defined cases: a null text and one of fewer than MIN_BYTES bytes have no digest, and no partner. Ties go to the smaller doc_id.
+Defined cases: ids can be of any type with an order. A null text and one of fewer than MIN_BYTES bytes have no digest, and no partner. Ties go to the smaller doc_id.
 Rows that share a doc_id count as one document (the least of their digests). Rows of null doc_id get a digest but neither have nor are partners. Columns other than the two named don't matter.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import U, mix, slices
-from ._shared import meeting_cells, written
+from ._shared import checked_id, meeting_cells, written
 
 BUCKETS = 128
 MIN_BYTES = 50
@@ -133,7 +133,10 @@ def _best_of(t: pa.Table, bound: int) -> Iterator[pa.RecordBatch]:
     n = t.num_rows
     if not n:
         return
-    key, cell, part, ids = (t.column(c).to_numpy() for c in ("key", "cell", "part", "id"))
+    key, cell, part = (t.column(c).to_numpy() for c in ("key", "cell", "part"))
+    # numbers in the order of the ids, whatever their type
+    kind = t.schema.field("id").type
+    names, ids = np.unique(t.column("id").to_numpy(), return_inverse=True)
     sig = np.stack([t.column(c).to_numpy() for c in PLANES], axis=1).view(U)
     head = np.stack([t.column(c).to_numpy() for c in ("len", "r1", "r2")], axis=1)
     high = np.ascontiguousarray(sig[:, :2].T)
@@ -188,14 +191,15 @@ def _best_of(t: pa.Table, bound: int) -> Iterator[pa.RecordBatch]:
                 if p != q and apart and c in two and c - apart in one:
                     compare(two[c], one[c - apart], apart)
     hit = best <= bound
-    yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(other[hit]), pa.array(best[hit].astype(np.int32))], names=["id", "other", "d"])
+    yield pa.RecordBatch.from_arrays([pa.array(names[ids[hit]], kind), pa.array(names[other[hit]], kind), pa.array(best[hit].astype(np.int32))], names=["id", "other", "d"])
 
 
 def nearest_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND, cell: int = CELL) -> DataFrame:
     """(doc_id, digest, nearest_doc_id, difference) of every document; the last two are null where no other document is within the bound."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = checked_id(docs, id_col)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     short = slim.where(F.col("text").isNull() | (F.octet_length("text") < MIN_BYTES)).select("id")
-    made = slim.where(F.octet_length("text") >= MIN_BYTES).mapInArrow(_digest, "id long, " + ", ".join(f"{c} long" for c in PLANES) + ", len int, r1 int, r2 int")
+    made = slim.where(F.octet_length("text") >= MIN_BYTES).mapInArrow(_digest, f"id {kind}, " + ", ".join(f"{c} long" for c in PLANES) + ", len int, r1 int, r2 int")
     made = written(made, "digests")
     parts = [*PLANES, "len", "r1", "r2"]
     one = made.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*parts)).alias("d")).select("id", "d.*")
@@ -208,7 +212,7 @@ def nearest_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     home = F.floor(F.col("len") / width)
     ranges = F.when(F.col("len") % width >= width - _reach(bound), F.array(home, home + 1)).otherwise(F.array(home))
     keyed = same.select(F.col("a").alias("id"), *parts, F.explode(ranges).alias("key"))
-    found = meeting_cells(keyed, ["key"], "id", cell, "part").select("key", "cell", "part", "id", *parts).mapInArrow(_best(bound), "id long, other long, d int")
+    found = meeting_cells(keyed, ["key"], "id", cell, "part").select("key", "cell", "part", "id", *parts).mapInArrow(_best(bound), f"id {kind}, other {kind}, d int")
     best = found.union(equal).groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select(F.col("id").alias("_id"), F.col("m.other").alias("nearest_doc_id"), F.col("m.d").alias("difference"))
     out = made.select("id", _hex().alias("digest")).join(best, F.col("id") == F.col("_id"), "left").select(F.col("id").alias("doc_id"), "digest", "nearest_doc_id", "difference")
-    return out.unionByName(short.select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("nearest_doc_id"), F.lit(None).cast("int").alias("difference")))
+    return out.unionByName(short.select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast(kind).alias("nearest_doc_id"), F.lit(None).cast("int").alias("difference")))

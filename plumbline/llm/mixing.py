@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import fresh, written
+from ._shared import drop_written, fresh, written
 
 SEED = 2024
 WEIGHTS = {"src0": 6.0}
@@ -72,6 +72,7 @@ def _placed(docs: DataFrame, weights, default_weight, budget, seed, id_col, text
     n, digits = keyed.count(), 1
     while n / 16**digits > BUCKET_DOCS and digits < 8:
         digits += 1
+    made = keyed
     keyed = keyed.withColumn("bucket", F.substring("key", 1, digits))
     sums = written(keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")), "sums")
     budgets = _budgets(sums.groupBy("source").agg(F.sum("tokens").alias("total")), weights, default_weight, budget)
@@ -81,7 +82,9 @@ def _placed(docs: DataFrame, weights, default_weight, budget, seed, id_col, text
     within = Window.partitionBy("source", "bucket").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("run", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["_s"]) & (placed["bucket"] == offsets["_b"]))
-    return placed.select("doc_id", "source", "n_tokens", "key", "tie", F.expr("`offset` + run").alias("first"), "total", "budget")
+    out = placed.select("doc_id", "source", "n_tokens", "key", "tie", F.expr("`offset` + run").alias("first"), "total", "budget")
+    out._plumbline_made = [made, sums]
+    return out
 
 
 def mix_plan(docs: DataFrame, *, weights: Mapping[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget: int | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -115,9 +118,12 @@ def mix_documents(docs: DataFrame, *, weights: Mapping[str, float] = WEIGHTS, de
     )
     # the rows at the cut are those that tie with the one that crosses; the first of them begins here
     cuts = written(cuts.withColumnRenamed("source", s), "cuts")
+    first = cuts
     p = placed.join(cuts, placed["source"].eqNullSafe(cuts[s]) & (placed["key"] == cuts[cut_key]) & (placed["tie"] == cuts[cut_tie]))
     begin = p.groupBy(F.col(s).alias(s + "2")).agg(F.min("first").alias(at))
     cuts = written(cuts.join(begin, cuts[s].eqNullSafe(F.col(s + "2")), "left").drop(s + "2"), "cuts")
+    # what led to the cuts isn't read any more
+    drop_written(first, *placed._plumbline_made)
     text = F.col(text_col).cast("string")
     rows = docs.join(cuts, docs[source_col].cast("string").eqNullSafe(cuts[s])).withColumn(key, _key(F.col(id_col), text, seed)).withColumn(n, token_count(text)).where(F.col(n) > 0)
     order = (F.col(key) < F.col(cut_key)) | ((F.col(key) == F.col(cut_key)) & (F.md5(text) < F.col(cut_tie)))

@@ -250,9 +250,8 @@ class Tagger:
         short = np.searchsorted(full, np.arange(t), side="right")
         h = self.loops.shape[1]
         out = np.empty((t, TAGS, b), np.float32)
-        out[:] = self.bias[None, :, None]
         columns, embed = np.ascontiguousarray(ids.T), np.ascontiguousarray(self.embed.T)
-        e = len(embed)
+        e, bias = len(embed), self.bias[:, None]
         gates = np.empty((4 * h, b), np.float32)
         for d in range(2):
             # the state is kept doubled, which saves halving the output gate; the weights that it meets are halved instead
@@ -276,8 +275,12 @@ class Tagger:
                 if d and short[k]:
                     state[:, : short[k]] = 0
                     cell[:, : short[k]] = 0
-                np.matmul(project, state, out=emit)
-                out[k] += emit
+                if d:
+                    np.matmul(project, state, out=emit)
+                    out[k] += emit
+                else:
+                    np.matmul(project, state, out=out[k])
+                    out[k] += bias
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:

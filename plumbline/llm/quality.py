@@ -8,7 +8,7 @@ Cost: fitting takes at most MAX_LABELLED labelled rows (those of least hash of d
 found in one scan by a broadcast join of that bounded sample. Scoring is one pass over the text in numpy, without a shuffle.
 
 Defined cases: a null text is rejected, with null probability; an empty one is scored by its statistics, which are all zero. Labels with a null in either column are passed over;
-a document with several labels counts with their mean, rounded up at one half; labels of no document have no effect. Where the labels hold fewer than MIN_CLASS documents of either class, there is nothing to
+a document with several labels counts with their mean, rounded up at one half; labels of no document have no effect. Ids can be of any type with an order. Where the labels hold fewer than min_class documents of either class, there is nothing to
 learn: every document with a text is kept, with null probability. Repeated rows are scored alike. Further columns pass through quality_filter.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import U, slices, words
-from ._shared import written
+from ._shared import checked_id, drop_written, written
 
 MAX_LABELLED = 20_000
 MIN_CLASS = 5
@@ -166,18 +166,20 @@ def _equations(model: Classifier):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, seed: int = SEED) -> Classifier | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, min_class: int = MIN_CLASS, seed: int = SEED) -> Classifier | None:
     """None where there is nothing to learn."""
-    y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)")
+    kind = checked_id(docs, id_col)
+    y = labels.select(F.col(id_col).cast(kind).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)")
     y = y.groupBy("id").agg(F.when(F.avg("y") >= 0.5, 1.0).otherwise(0.0).alias("y"))
     y = y.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_labelled)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     # the sample has at most max_labelled rows of 16 bytes
-    seen = texts.join(F.broadcast(y), "id").select("id", "text", "y").mapInArrow(_measured, "id long, x array<double>, y double")
+    seen = texts.join(F.broadcast(y), "id").select("id", "text", "y").mapInArrow(_measured, f"id {kind}, x array<double>, y double")
     seen = seen.withColumn("held", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(10)) < 3)
     seen = written(seen.repartition(8, "id").sortWithinPartitions("id"), "labelled")
     n = {r.y: r.n for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if min(n.get(0.0, 0), n.get(1.0, 0)) < MIN_CLASS:
+    if min(n.get(0.0, 0), n.get(1.0, 0)) < min_class:
+        drop_written(seen)
         return None
     stats = seen.select(*[F.col("x")[k].alias(f"x{k}") for k in range(WIDTH)])
     row = stats.agg(*[f(f"x{k}") for k in range(WIDTH) for f in (F.avg, F.stddev_pop)]).first()
@@ -193,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         model.knots, model.levels = isotonic(model.score(_matrix(held.column("x").combine_chunks())), held.column("y").to_numpy())
     else:
         model.knots, model.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    drop_written(seen)
     return model
 
 

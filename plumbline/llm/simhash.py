@@ -11,7 +11,7 @@ collapse there, so thousands of copies cost one comparison), one by key, and a f
 more than CELL signatures is cut into parts of which every two meet in a cell of their own, so that no task has more than
 2 * CELL signatures to compare, and no candidate is left out.
 
-Defined cases: a null text or one without letters and digits has no signature and is in no group. Rows that share a doc_id
+Defined cases: ids can be of any type with an order. A null text or one without letters and digits has no signature and is in no group. Rows that share a doc_id
 count as one document. A row with a null doc_id can't be named as a partner: it is in no group, and near_dedup keeps it. Further
 columns of any name pass through near_dedup untouched. An empty table gives an empty result.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import U, mix, pair_set, slices, words
-from ._shared import drop_written, meeting_cells, written
+from ._shared import checked_id, drop_written, meeting_cells, written
 
 KEYS = 12
 RADIUS = 66
@@ -220,7 +220,9 @@ def _whole_buckets(t: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
 def _bucket_links(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
     if not t.num_rows:
         return
-    key, cell, ids = (t.column(c).to_numpy() for c in ("key", "cell", "id"))
+    key, cell = (t.column(c).to_numpy() for c in ("key", "cell"))
+    named = t.column("id").combine_chunks().dictionary_encode()
+    ids = np.asarray(named.indices)
     sig = np.stack([t.column(c).to_numpy().view(U) for c in SIG], axis=1)
     begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
     size = np.diff(np.append(begin, len(key)))
@@ -241,7 +243,7 @@ def _bucket_links(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
         b.append(ids[begin[k] + y])
     a, b = (np.concatenate(v) if v else _EMPTY for v in (a, b))
     edge = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], names=["u", "v"])
+    yield pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(edge[:, k])) for k in range(2)], names=["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,16 +267,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """(doc_id, kept_doc_id): each document that has a near duplicate of a smaller id in its group, with the group's least id."""
-    sign = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign, f"id long, {', '.join(f'{c} long' for c in SIG)}, keys array<long>")
+    """(doc_id, kept_doc_id): each document that has a near duplicate of a smaller id in its group, with the group's least id. Ids can be of any type with an order."""
+    kind = checked_id(docs, id_col)
+    sign = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign, f"id {kind}, {', '.join(f'{c} long' for c in SIG)}, keys array<long>")
     sign = written(sign, "signatures")
     rep = sign.groupBy(*SIG).agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.max("id").alias("top"))
     rep = written(rep, "distinct")
     equal = sign.join(rep.where("top > rep").select(*SIG, "rep"), SIG).where("id > rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     keyed = rep.select("rep", *SIG, F.explode("keys").alias("key"))
     met = meeting_cells(keyed.withColumnRenamed("rep", "id"), ["key"], "id", cell).select("key", "cell", "id", *SIG)
-    near = met.mapInArrow(_compare(radius), "u long, v long")
+    near = met.mapInArrow(_compare(radius), f"u {kind}, v {kind}")
     out = components(equal.union(near))
+    drop_written(sign, rep)
     return out.select(F.col("u").alias("doc_id"), F.col("v").alias("kept_doc_id"))
 
 

@@ -230,7 +230,9 @@ def training_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     mixed = F.xxhash64(F.lit(1), "id", "text")
     keyed = slim.select((F.shiftrightunsigned(mixed, 64 - bits) if bits else F.lit(0)).cast("long").alias("bucket"), mixed.alias("key"), F.xxhash64(F.lit(2), "text").alias("tie"), "id", "text")
     tokens = keyed.mapInArrow(_tokens(ranks_path, end, width), f"bucket long, key long, tie long, id {kind}, n long, packed binary")
-    sorted_ = tokens.repartition("bucket").sortWithinPartitions("bucket", "key", "tie", "id").select("bucket", "id", "n", "packed")
+    # a task has 16 buckets at most, about
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 16)
+    sorted_ = tokens.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "tie", "id").select("bucket", "id", "n", "packed")
     made = written(sorted_.mapInArrow(_sequences(length, end, width), f"bucket long, local long, packed binary, doc_ids array<{kind}>"), "sequences")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # a row for each bucket

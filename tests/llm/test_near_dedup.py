@@ -181,3 +181,30 @@ def test_fingerprints_of_lengths_two_codes_apart(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for cell in (3, fingerprint.CELL):
         assert {r.doc_id: (r.nearest_doc_id, r.difference) for r in fingerprint.nearest_digests(docs, cell=cell).collect()} == want
+
+
+def test_ids_of_any_type(spark):
+    rng = np.random.default_rng(5)
+    base = [" ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(60)) for _ in range(12)]
+    texts = [t for t in base for _ in range(2)] + [base[0] + " tail", None, ""]
+    names = {k: f"{k:04d}-x" for k in range(len(texts))}
+    numbers = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = spark.createDataFrame([(names[k], t) for k, t in enumerate(texts)], "doc_id string, text string")
+    for f in (simhash.near_duplicates, exact_dedup.exact_duplicates):
+        want = sorted((names[r.doc_id], names[r.kept_doc_id]) for r in f(numbers).collect())
+        assert sorted((r.doc_id, r.kept_doc_id) for r in f(words).collect()) == want and len(want) >= 12
+    want = {names[r.doc_id]: (r.digest, names.get(r.nearest_doc_id), r.difference) for r in fingerprint.nearest_digests(numbers).collect()}
+    assert {r.doc_id: (r.digest, r.nearest_doc_id, r.difference) for r in fingerprint.nearest_digests(words).collect()} == want
+    assert simhash.near_dedup(words).count() == len(texts) - len(simhash.near_duplicates(numbers).collect())
+
+
+def test_nothing_written_is_left_but_what_results_read(spark):
+    from plumbline.llm import _shared
+
+    docs = spark.createDataFrame([(k, f"some words of text {k % 3} and more of them") for k in range(9)], "doc_id long, text string")
+    before = _shared.written_now()
+    assert simhash.near_duplicates(docs).count() > 0
+    left = _shared.written_now() - before
+    assert len(left) == 1 and "stars" in next(iter(left))
+    _shared.drop_paths(left)
+    assert _shared.written_now() == before

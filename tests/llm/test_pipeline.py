@@ -109,7 +109,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "token_shards") == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", ["op1_simhash_near_dedup", "op2_token_output", "op5_quality_classifier", "op7_sentencepiece", "op10_document_fingerprints"])

@@ -123,3 +123,27 @@ def test_mixing_empty_and_wrong(spark):
 
     with pytest.raises(ValueError):
         mixing.mix_plan(docs, weights={"a": -1.0})
+
+
+def test_weights_against_a_dense_solve_and_ids_of_any_type(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(["word"] * int(rng.integers(5, 40))) + "." if k % 3 else "$$ ## " * int(rng.integers(3, 30)) for k in range(200)]
+    label = [int(k % 3 > 0) for k in range(200)]
+    docs = spark.createDataFrame([(f"d{k}", t, "x") for k, t in enumerate(texts)], "doc_id string, text string, y string").repartition(3)
+    labels = spark.createDataFrame([(f"d{k}", v) for k, v in enumerate(label)] + [("none", 1)], "doc_id string, quality int")
+    model = quality.fit(docs, labels)
+    held = {r.id for r in spark.createDataFrame([(f"d{k}",) for k in range(200)], "id string").where("pmod(xxhash64(id, 8), 10) < 3").collect()}
+    x, y = quality.statistics(pa.array(texts)), np.array(label, float)
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    phi = np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - mean) / scale, -8, 8) @ model.frequency + model.phase)
+    phi = np.concatenate([phi, np.ones((200, 1))], axis=1)
+    fit = np.array([f"d{k}" not in held for k in range(200)])
+    # ridge as least squares over rows that are stacked on the penalty
+    stacked = np.concatenate([phi[fit], np.sqrt(quality.RIDGE) * np.eye(phi.shape[1])])
+    want = np.linalg.lstsq(stacked, np.concatenate([y[fit], np.zeros(phi.shape[1])]), rcond=None)[0]
+    assert np.allclose(phi @ want, model.score(x), atol=1e-6)
+    scored = {r.doc_id: r.keep for r in quality.quality_scores(docs, labels).collect()}
+    assert sum(scored[f"d{k}"] == bool(label[k]) for k in range(200)) > 195
+    assert quality.quality_scores(docs, labels, min_class=1000).where("probability IS NULL AND keep").count() == 200
