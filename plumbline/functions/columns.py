@@ -8,7 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORDS = r"[\p{L}\p{N}_'-]+"
-SENTINELS = ["", "-", "--", "?", "n/a", "na", "nan", "null", "none", "nil", "#n/a", "unknown", "missing", "undefined", "not available"]
+#: How missing values are written, in lower case.
+SENTINELS = ["", "?", "-", "--", "na", "n/a", "n.a.", "n\\a", "nan", "nil", "none", "null", "unk", "unknown", "missing", "void", "undefined", "not available", "not applicable", "#na", "#n/a", "#n/a n/a", "<na>", "<null>", "(null)"]
+#: Numbers that often stand for a missing value.
+NUMERIC_SENTINELS = [-9999, -999, -99, -9, -1, 9999, 99999]
+#: What UTF-8 looks like once it has been read as another encoding, or the other way round.
+MOJIBAKE = ["\ufffd", "Ã¢", "Ã©", "Ã¨", "Ã¯", "Ã¼", "Ã¶", "Ã±", "â€™", "â€œ", "â€\x9d", "â€“", "Ð¾", "Ð°", "Ñ\x80", "ï»¿"]
 
 
 def col(c: Column | str) -> Column:

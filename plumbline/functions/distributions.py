@@ -88,3 +88,10 @@ def t_quantile(p: float, df: float) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if 1 - t_tail(mid, df) / 2 < p else (lo, mid)
     return (lo + hi) / 2
+
+
+def kolmogorov_tail(x: float) -> float:
+    """Of the limiting distribution of the scaled greatest gap."""
+    if x < 0.2:
+        return 1.0
+    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))

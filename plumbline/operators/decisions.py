@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import levels, ordered_sums
+
 
 def _all():
     """One window over all rows of a table that is small by then: levels, groups, distinct values."""
@@ -22,11 +24,10 @@ def f_beta(precision: Column, recall: Column, beta: float = 1.0) -> Column:
 def sweep(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, tp, fp, fn, tn, tpr, fpr, precision, youden, balanced) of every distinct score as the threshold ("at least"), and of infinity.
 
-    Scores are counted first, so the window runs over distinct scores."""
-    s = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
-    s = s.unionByName(df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n")))
-    w = _all().orderBy(F.desc("threshold"))
-    s = s.select("threshold", F.sum("p").over(w).alias("tp"), (F.sum("n").over(w) - F.sum("p").over(w)).alias("fp"), F.sum("p").over(_all()).alias("_p"), (F.sum("n").over(_all()) - F.sum("p").over(_all())).alias("_n"))
+    Scores are counted first and summed in their order by range buckets."""
+    seen = levels(df.where(F.col(y).isNotNull() & F.col(score).isNotNull()), F.col(score).cast("double"), p=F.col(y).cast("long"))
+    s = seen.unionByName(df.sparkSession.range(1).select(F.lit(float("inf")).alias("x"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p")))
+    s = ordered_sums(s, sums=("n", "p")).select(F.col("x").alias("threshold"), (F.col("p_all") - F.col("p_before")).alias("tp"), (F.col("n_all") - F.col("n_before") - F.col("p_all") + F.col("p_before")).alias("fp"), F.col("p_all").alias("_p"), (F.col("n_all") - F.col("p_all")).alias("_n"))
     tpr, fpr = F.coalesce(F.try_divide("tp", "_p"), F.lit(0.0)), F.coalesce(F.try_divide("fp", "_n"), F.lit(0.0))
     return s.select("threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("fp")).alias("tn"), tpr.alias("tpr"), fpr.alias("fpr"), F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), (tpr - fpr).alias("youden"), ((tpr + 1 - fpr) / 2).alias("balanced"))
 
@@ -44,20 +45,31 @@ def pick(sw: DataFrame, criterion: str, beta: float = 1.0, min_precision: float
     return sw.withColumn("_g", goal).where("_g IS NOT NULL").agg(F.min_by(row, F.struct(-F.round("_g", 12), F.col("threshold"))).alias("r")).select(F.lit(criterion).alias("criterion"), "r.*")
 
 
-def auc(sw: DataFrame) -> DataFrame:
-    """One row: area under the curve by trapezoids over the sweep."""
-    w = _all().orderBy(F.desc("threshold"))
-    t = sw.select((F.col("fpr") - F.lag("fpr", 1, 0.0).over(w)).alias("dx"), ((F.col("tpr") + F.lag("tpr", 1, 0.0).over(w)) / 2).alias("h"))
-    return t.agg(F.sum(F.col("dx") * F.col("h")).alias("auc"))
+def _steps(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(x, n, p, ...): counted scores with the sums below them and over all."""
+    return ordered_sums(levels(df.where(F.col(y).isNotNull() & F.col(score).isNotNull()), F.col(score).cast("double"), p=F.col(y).cast("long")), sums=("n", "p"))
+
+
+def auc(df: DataFrame, y: str, score: str) -> DataFrame:
+    """One row: area under the curve by trapezoids: of all pairs of a positive and a negative, the share in which the positive scores higher, ties counting half. Null where a class is absent."""
+    lost = F.col("n") - F.col("p")
+    below = F.col("n_before") - F.col("p_before")
+    return _steps(df, y, score).agg(F.try_divide(F.sum(F.col("p") * (below + lost / 2)), F.max("p_all").cast("double") * F.max(F.col("n_all") - F.col("p_all"))).alias("auc"))
 
 
 def prevalence_report(df: DataFrame, y: str, score: str, recalls: Sequence[float] = (0.5, 0.8)) -> DataFrame:
-    """One row: prevalence, AUC, average precision, and for each recall the precision and the alerts for one hit."""
-    sw = sweep(df, y, score)
-    w = _all().orderBy(F.desc("threshold"))
-    ap = sw.select((F.col("tpr") - F.lag("tpr", 1, 0.0).over(w)).alias("d"), F.coalesce("precision", F.lit(0.0)).alias("p")).agg(F.sum(F.col("d") * F.col("p")).alias("average_precision"))
-    at = sw.agg(((F.max("tp")) / (F.max("tp") + F.max("fp"))).alias("prevalence"), *[F.max_by("precision", F.when(F.col("tpr") >= r, F.col("threshold"))).alias(f"precision_at_{round(r * 100)}") for r in recalls])
-    return at.withColumns({f"alerts_per_hit_at_{round(r * 100)}": F.try_divide(F.lit(1.0), F.col(f"precision_at_{round(r * 100)}")) for r in recalls}).crossJoin(ap).crossJoin(auc(sw))
+    """One row: prevalence, AUC, average precision, and for each recall the precision at the highest threshold that reaches it and the alerts for one hit."""
+    s = _steps(df, y, score)
+    tp, all_ = F.col("p_all") - F.col("p_before"), F.col("n_all") - F.col("n_before")
+    precision, recall = tp / all_, F.try_divide(tp, F.col("p_all"))
+    lost, below = F.col("n") - F.col("p"), F.col("n_before") - F.col("p_before")
+    at = s.agg(
+        F.try_divide(F.max("p_all"), F.max("n_all")).alias("prevalence"),
+        *[F.max_by(precision, F.when(recall >= r, F.col("x"))).alias(f"precision_at_{round(r * 100)}") for r in recalls],
+        F.sum(F.try_divide("p", "p_all") * precision).alias("average_precision"),
+        F.try_divide(F.sum(F.col("p") * (below + lost / 2)), F.max("p_all").cast("double") * F.max(F.col("n_all") - F.col("p_all"))).alias("auc"),
+    )
+    return at.withColumns({f"alerts_per_hit_at_{round(r * 100)}": F.try_divide(F.lit(1.0), F.col(f"precision_at_{round(r * 100)}")) for r in recalls})
 
 
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -80,9 +92,9 @@ def fleiss(ratings: DataFrame, item: str, category: str) -> DataFrame:
 
 
 def generalisation_gap(df: DataFrame, train: str, test: str, greater_is_better: bool = True) -> DataFrame:
-    """df with gap, relative to train, and verdict: below 15 % fine, 20 % watch, 30 % overfit, above severe."""
+    """df with gap, relative to train, and verdict: below 0 anomaly (test beats train: look for a leak), below 15 % fine, 20 % watch, 30 % overfit, above severe. Null where train is 0."""
     g = F.try_divide(F.col(train) - F.col(test) if greater_is_better else F.col(test) - F.col(train), F.abs(F.col(train)))
-    return df.withColumn("gap", g).withColumn("verdict", F.when(g < 0.15, "fine").when(g < 0.2, "watch").when(g < 0.3, "overfit").when(g.isNotNull(), "severe"))
+    return df.withColumn("gap", g).withColumn("verdict", F.when(g < 0, "anomaly").when(g < 0.15, "fine").when(g < 0.2, "watch").when(g < 0.3, "overfit").when(g.isNotNull(), "severe"))
 
 
 def beta_posterior(df: DataFrame, k: str, n: str, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:

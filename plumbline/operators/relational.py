@@ -103,15 +103,17 @@ def aligned(a: DataFrame, b: DataFrame, key: Sequence[str], value: str) -> DataF
 
 
 def flags(candidate: DataFrame, base: DataFrame, key: str) -> DataFrame:
-    """(key, flags) of two tables of (key, n, rate, cost): always_failing, flaky (strictly between 20 and 80 %), non_discriminating (both always pass), cost_regression (above 1.25 times), missing_data."""
+    """(key, flags) of two tables of (key, n, rate, cost): missing_data (either has no rows), non_discriminating (both always pass), always_failing (both never do), flaky (either strictly between 20 and 80 %), cost_regression (above 1.25 times, where both have a cost)."""
     x, y = (d.select(key, *[F.col(c).alias(f"{p}_{c}") for c in ("n", "rate", "cost")]) for d, p in ((candidate, "c"), (base, "b")))
-    has = (F.coalesce("c_n", F.lit(0)) > 0) & (F.coalesce("b_n", F.lit(0)) > 0)
+    there = {p: F.coalesce(f"{p}_n", F.lit(0)) > 0 for p in "cb"}
+    both = there["c"] & there["b"]
+    mixed = lambda p: there[p] & (F.col(f"{p}_rate") > 0.2) & (F.col(f"{p}_rate") < 0.8)
     rules = [
-        (~has, "missing_data"),
-        (F.coalesce("c_n", F.lit(0)).__gt__(0) & (F.col("c_rate") == 0), "always_failing"),
-        (F.coalesce("c_n", F.lit(0)).__gt__(0) & (F.col("c_rate") > 0.2) & (F.col("c_rate") < 0.8), "flaky"),
-        (has & (F.col("c_rate") == 1) & (F.col("b_rate") == 1), "non_discriminating"),
-        (has & (F.col("b_cost") > 0) & (F.col("c_cost") > 1.25 * F.col("b_cost")), "cost_regression"),
+        (~both, "missing_data"),
+        (both & (F.col("c_rate") == 1) & (F.col("b_rate") == 1), "non_discriminating"),
+        (both & (F.col("c_rate") == 0) & (F.col("b_rate") == 0), "always_failing"),
+        (F.coalesce(mixed("c"), F.lit(False)) | F.coalesce(mixed("b"), F.lit(False)), "flaky"),
+        ((F.col("c_cost") > 0) & (F.col("b_cost") > 0) & (F.col("c_cost") > 1.25 * F.col("b_cost")), "cost_regression"),
     ]
     return x.join(y, key, "full_outer").select(key, F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules])), ",").alias("flags"))
 

@@ -11,14 +11,13 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import finite
 from ..functions.distributions import normal_quantile
+from ..functions.ordering import levels, ordered_sums, quantiles
 
 
 def tail_index(df: DataFrame, column: str, frac: float = 0.1) -> DataFrame:
     """One row (n, k, hill_alpha): Hill's estimate over the greatest share of the positive values; the threshold is the k+1-th greatest. Ranks come from counts by value."""
-    v = df.where(finite(column) > 0).groupBy(finite(column).alias("x")).agg(F.count("*").alias("n"))
-    all_ = Window.partitionBy(F.lit(1))
-    above = F.coalesce(F.sum("n").over(all_.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = v.withColumns({"above": above, "all": F.sum("n").over(all_)}).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("all") * frac)))
+    r = ordered_sums(levels(df, F.when(finite(column) > 0, finite(column))))
+    r = r.withColumns({"above": F.col("n_all") - F.col("n_before") - F.col("n"), "all": F.col("n_all")}).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("all") * frac)))
     r = r.withColumn("take", F.greatest(F.lit(0), F.least(F.col("n"), F.col("k") - F.col("above"))))
     a = r.agg(F.first("all").alias("n"), F.first("k").alias("k"), (F.sum(F.col("take") * F.log("x")) / F.first("k")).alias("m"), F.max(F.when((F.col("above") + F.col("n")) > F.col("k"), F.col("x"))).alias("x0"))
     return a.select("n", "k", F.try_divide(F.lit(1.0), F.col("m") - F.log("x0")).alias("hill_alpha"))
@@ -100,7 +99,7 @@ def regression_to_mean(df: DataFrame, baseline: str, followup: str, q: float = 0
     """One row: change of those selected below the q-quantile of baseline, the change that regression to the mean alone would bring (a line fitted on the others), and the excess."""
     b, f = finite(baseline), finite(followup)
     d = df.where(b.isNotNull() & f.isNotNull()).select(b.alias("b"), f.alias("f"))
-    t = d.crossJoin(d.agg(F.percentile("b", F.lit(q)).alias("_t"))).withColumn("s", F.col("b") <= F.col("_t"))
+    t = d.crossJoin(quantiles(d, F.col("b"), [q], ["_t"])).withColumn("s", F.col("b") <= F.col("_t"))
     a = t.agg(F.count_if("s").alias("n_selected"), F.avg(F.when(F.col("s"), F.col("f") - F.col("b"))).alias("change"), F.avg(F.when(F.col("s"), F.col("b"))).alias("_b"), F.regr_slope(F.when(~F.col("s"), F.col("f")), F.when(~F.col("s"), F.col("b"))).alias("_k"), F.regr_intercept(F.when(~F.col("s"), F.col("f")), F.when(~F.col("s"), F.col("b"))).alias("_i"))
     expected = F.col("_i") + F.col("_k") * F.col("_b") - F.col("_b")
     return a.select("n_selected", "change", expected.alias("expected"), (F.col("change") - expected).alias("excess"))
@@ -109,7 +108,7 @@ def regression_to_mean(df: DataFrame, baseline: str, followup: str, q: float = 0
 def dichotomization_cost(df: DataFrame, x: str, y: str, split: float = 0.5) -> DataFrame:
     """One row: correlation before and after cutting x at a quantile, the share of information kept, and what theory says for a normal x."""
     d = df.where(finite(x).isNotNull() & finite(y).isNotNull()).select(finite(x).alias("x"), finite(y).alias("y"))
-    d = d.crossJoin(d.agg(F.percentile("x", F.lit(split)).alias("_c")))
+    d = d.crossJoin(quantiles(d, F.col("x"), [split], ["_c"]))
     a = d.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r_before"), F.corr((F.col("x") > F.col("_c")).cast("double"), F.col("y")).alias("r_after"))
     z = normal_quantile(split)
     theory = (math.exp(-z * z / 2) / math.sqrt(2 * math.pi)) ** 2 / (split * (1 - split))

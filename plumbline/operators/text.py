@@ -23,22 +23,28 @@ def token_frequencies(texts: DataFrame, id_col: str, text_col: str, top: int = 1
 
 
 def text_summary(texts: DataFrame, text_col: str) -> DataFrame:
-    """One row: null, empty and token-empty texts, normalised duplicates, characters and tokens (median, p95), vocabulary, share of tokens seen once."""
-    t = F.col(text_col)
-    d = texts.select(t.alias("t"), tokens(t).alias("k"), F.xxhash64(normal_label(t)).alias("h"))
+    """One row: n_docs, n_nan, n_empty_string (nothing but white space), and of the others n_empty_after_tokenization, duplicate_rate_normalized, characters and tokens (median, p95), vocab_size, hapax_share,
+    top10_token_share and non_alpha_token_share (tokens without a letter)."""
+    t = F.col(text_col).cast("string")
+    d = texts.select(t.alias("t"), collapse(t).alias("c")).select("t", F.when(F.col("c") != "", F.col("t")).alias("v"), F.lower("c").alias("c")).select("t", "v", tokens("v").alias("k"), F.when(F.col("v").isNotNull(), F.xxhash64("c")).alias("h"))
+    size = F.when(F.col("v").isNotNull(), F.size("k"))
     a = d.agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("t").isNull()).alias("n_null"),
-        F.count_if(F.trim("t") == "").alias("n_empty"),
-        F.count_if((F.size("k") == 0) & (F.trim("t") != "")).alias("n_without_tokens"),
-        (F.count("t") - F.count_distinct(F.when(F.col("t").isNotNull(), F.col("h")))).alias("n_duplicates"),
-        F.median(F.length("t")).alias("chars_median"),
-        F.percentile(F.length("t"), F.lit(0.95)).alias("chars_p95"),
-        F.median(F.when(F.col("t").isNotNull(), F.size("k"))).alias("tokens_median"),
-        F.percentile(F.when(F.col("t").isNotNull(), F.size("k")), F.lit(0.95)).alias("tokens_p95"),
+        F.count("*").alias("n_docs"),
+        F.count_if(F.col("t").isNull()).alias("n_nan"),
+        F.count_if(F.col("t").isNotNull() & F.col("v").isNull()).alias("n_empty_string"),
+        F.count_if(size == 0).alias("n_empty_after_tokenization"),
+        F.median(F.length("v")).alias("chars_median"),
+        F.percentile(F.length("v"), F.lit(0.95)).alias("chars_p95"),
+        F.median(size).alias("tokens_median"),
+        F.percentile(size, F.lit(0.95)).alias("tokens_p95"),
     )
-    v = d.select(F.explode("k").alias("token")).groupBy("token").count().agg(F.count("*").alias("vocabulary"), F.avg((F.col("count") == 1).cast("int")).alias("once_share"))
-    return a.crossJoin(v)
+    # equal texts are counted by hash, apart: a distinct count beside the others would write every row twice
+    same = d.where("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n")).agg(F.coalesce(F.round(1 - F.try_divide(F.count("*"), F.sum("n")), 4), F.lit(0.0)).alias("duplicate_rate_normalized"))
+    v = d.select(F.explode("k").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    all_ = v.agg(F.count("*").alias("vocab_size"), F.round(F.avg((F.col("n") == 1).cast("int")), 4).alias("hapax_share"), F.sum("n").alias("_n"), F.sum(F.when(~F.col("token").rlike(r"\p{L}"), F.col("n")).otherwise(0)).alias("_o"))
+    top = v.orderBy(F.desc("n")).limit(10).agg(F.sum("n").alias("_t"))
+    share = lambda c: F.round(F.try_divide(F.col(c), F.col("_n")), 4)
+    return a.crossJoin(same).crossJoin(all_).crossJoin(top).withColumns({"top10_token_share": share("_t"), "non_alpha_token_share": share("_o")}).drop("_n", "_o", "_t")
 
 
 def vocabulary_coverage(texts: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:

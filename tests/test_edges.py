@@ -89,7 +89,7 @@ def test_quality_of_hostile_columns(spark):
     p = {r.column: r for r in quality.profile_schema(d).collect()}
     assert (p["ratio"].n_inf, p["ratio"].n_missing) == (4, 4) and p["note"].n_missing == 4
     issues = {(r.column, r.issue) for r in quality.detect_issues(d).collect()}
-    assert {("ratio", "non_finite_values"), ("note", "string_sentinels"), ("note", "encoding_artifacts"), ("const", "constant_value"), ("email", "constant_value")} <= issues
+    assert {("ratio", "non_finite_values:4"), ("note", "string_sentinels"), ("note", "encoding_artifacts"), ("const", "constant_value"), ("email", "constant_value"), ("const", "integer_may_be_category_code")} <= issues
     assert {r.role for r in quality.profile_schema(d.limit(0)).collect()} == {"empty"}
 
 
@@ -102,14 +102,99 @@ def test_label_variants_and_conflicts(spark):
 
 
 def test_funnel_names_small_groups(spark):
-    d = spark.createDataFrame([("low", 1 if k < 135 else 0) for k in range(450)] + [("high", 1 if k < 315 else 0) for k in range(450)] + [("tiny", 1)] * 3 + [(None, 1)], "g string, y int")
+    d = spark.createDataFrame([("low", 1 if k < 135 else 0) for k in range(450)] + [("high", 1 if k < 315 else 0) for k in range(450)] + [("tiny", 1)] * 10 + [(None, 1)], "g string, y int")
     got = {r.g: r for r in quality.rate_funnel(d, "y", "g").collect()}
-    assert got["low"].outside_funnel and got["high"].outside_funnel and got["tiny"].small_group and not got["tiny"].outside_funnel
+    assert got["low"].outside_funnel and got["high"].outside_funnel and got["tiny"].small_group and got["tiny"].outside_funnel and got["tiny"].positives == 10
 
 
 def test_dispersion_verdicts(spark):
     f = lambda xs: quality.count_dispersion(spark.createDataFrame([(float(x),) for x in xs], "x double"), "x").first().verdict
-    assert f([1.5, 2.5] * 20) == "not_count_data" and f([1, 2, 3]) == "insufficient_data" and f([0, 20] * 20) == "overdispersed" and f([3, 3, 3, 4] * 10) == "underdispersed"
+    assert f([1.5, 2.5] * 20) == "not_count_data" and f([0] * 20) == "not_count_data" and f([1.5, 2.5, 1.5]) == "insufficient_data" and f([1, 2, 3]) == "insufficient_data" and f([0, 20] * 20) == "overdispersed" and f([3, 3, 3, 4] * 10) == "underdispersed"
+
+
+def test_a_group_that_beats_its_training_is_an_anomaly(spark):
+    d = spark.createDataFrame([(1, 0.5, 0.9), (2, 0.9, 0.8), (3, 0.9, 0.5), (4, 0.0, 0.5)], "id int, train double, test double")
+    assert {r.id: r.verdict for r in decisions.generalisation_gap(d, "train", "test").collect()} == {1: "anomaly", 2: "fine", 3: "severe", 4: None}
+
+
+def test_flags_look_at_both_sides(spark):
+    side = lambda rows: spark.createDataFrame(rows, "node string, n int, rate double, cost double")
+    got = {r.node: r.flags for r in relational.flags(side([("a", 5, 0.0, 1.0), ("b", 5, 0.0, 1.0), ("c", 5, 1.0, 2.0), ("d", 5, 1.0, 1.0), ("e", 0, None, None)]), side([("a", 5, 1.0, 1.0), ("b", 5, 0.0, 1.0), ("c", 5, 1.0, 1.0), ("d", 5, 0.5, 1.0), ("e", 5, 0.5, 1.0)]), "node").collect()}
+    assert got == {"a": "", "b": "always_failing", "c": "non_discriminating,cost_regression", "d": "flaky", "e": "missing_data,flaky"}
+
+
+def test_the_ratio_needs_a_positive_bottom(spark):
+    f = lambda xs: quality.decile_ratio(spark.createDataFrame([(float(x),) for x in xs], "x double"), "x").first().ratio
+    assert f([-5, *range(1, 20)]) is None and f(range(1, 21)) == pytest.approx(19.5 / 1.5)
+
+
+def test_shift_is_judged_against_its_floor(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    frame = lambda x: spark.createDataFrame([(float(v),) for v in x], "v double")
+    a, b, c = rng.normal(size=100), rng.normal(size=100), rng.normal(2, 1, 400)
+    small = quality.population_shift(frame(a), frame(b), "v").first()
+    assert small.verdict == "stable" and small.psi_null_expected == pytest.approx(9 * 0.02) and not small.psi_reliable and small.n_bins == 10
+    edges = np.unique(np.percentile(a, np.linspace(0, 100, 11)))
+    edges[0], edges[-1] = -np.inf, np.inf
+    p, q = (np.maximum(np.histogram(x, edges)[0] / len(x), 0.5 / len(x)) for x in (a, c))
+    big = quality.population_shift(frame(a), frame(c), "v").first()
+    assert big.verdict == "major_shift" and big.psi == pytest.approx(((p - q) * np.log(p / q)).sum(), abs=1e-5)
+    grid = np.sort(np.concatenate([a, c]))
+    gap = np.abs(np.searchsorted(np.sort(a), grid, side="right") / 100 - np.searchsorted(np.sort(c), grid, side="right") / 400)
+    assert big.ks_stat == pytest.approx(gap.max(), abs=1e-6) and big.wasserstein == pytest.approx((gap[:-1] * np.diff(grid)).sum(), abs=1e-5)
+    words = lambda x: spark.createDataFrame([(v,) for v in x], "v string")
+    cat = quality.population_shift(words(["x"] * 50 + ["y"] * 50), words(["x"] * 10 + ["z"] * 90), "v").first()
+    assert cat.kind == "categorical" and cat.unseen == ["z"] and cat.verdict == "major_shift"
+    assert quality.population_shift(frame([1.0]), frame(b), "v").first().verdict == "insufficient_data"
+    assert quality.population_shift(frame([1.0] * 50), frame(b), "v", categorical=False).first().verdict == "degenerate_reference"
+
+
+def test_roles_of_texts(spark):
+    rows_ = [(f"user number {k} of many", f"2024-01-{k % 28 + 1:02d}", "a, b; c", ["red", "green", "blue"][k % 3], k, k % 5, k / 7, k % 2 == 0) for k in range(60)]
+    d = spark.createDataFrame(rows_, "t string, d string, l string, n string, i int, c int, x double, b boolean")
+    got = {r.column: r.role for r in quality.profile_schema(d, target="n").collect()}
+    assert got == {"t": "free_text", "d": "datetime_text", "l": "binary", "n": "target/nominal", "i": "identifier", "c": "count", "x": "continuous", "b": "binary"}
+    assert {r.column: r.role for r in quality.profile_schema(d, ["x"], id_columns=["x"]).collect()} == {"x": "identifier"}
+    assert {r.column: r.role for r in quality.profile_schema(d.withColumn("l", F.concat("l", F.lit(","), "t")), ["l"]).collect()} == {"l": "multi_label_or_list"}
+
+
+def test_ordered_sums_and_quantiles(spark):
+    import numpy as np
+    from plumbline.functions import ordering
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1e6, 200), rng.normal(0, 1e-6, 200), rng.integers(-5, 5, 300).astype(float), [0.0, -0.0, 1e300, -1e300, 5e-324, 2.0**40, 2.0**40 - 1]])
+    d = spark.createDataFrame([(float(v), int(k % 3)) for k, v in enumerate(x)], "v double, g int")
+    got = sorted(ordering.ordered_sums(ordering.levels(d, F.col("v")), following=True).collect(), key=lambda r: r.x)
+    values, counts = np.unique(x, return_counts=True)
+    assert [r.x for r in got] == values.tolist() and [r.n_before for r in got] == (np.cumsum(counts) - counts).tolist() and {r.n_all for r in got} == {len(x)}
+    assert [r.next_x for r in got] == [*values[1:].tolist(), None]
+    for r in ordering.quantiles(d, F.col("v"), [0.1, 0.5, 0.99], ["a", "b", "c"], ["g"]).collect():
+        assert np.allclose([r.a, r.b, r.c], np.quantile(x[np.arange(len(x)) % 3 == r.g], [0.1, 0.5, 0.99]))
+    assert ordering.quantiles(d.limit(0), F.col("v"), [0.5], ["m"]).collect() == [(None,)]
+
+
+def test_blocked_neighbours(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 5))
+    x[7] = x[8] = x[9]
+    x[20] = 0
+    for ids, kind in (([k for k in range(90)], "long"), ([f"r{k:03d}" for k in range(90)], "string")):
+        d = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(None, [0.0] * 5), (ids[0], None)], f"id {kind}, v array<double>")
+        for metric in ("cosine", "euclidean"):
+            u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+            s = u @ u.T if metric == "cosine" else -np.linalg.norm(u[:, None] - u[None], axis=2)
+            got = {(r.id, r["rank"]): (r.neighbour, r.score) for r in vectors.neighbours(d, d, "id", "v", 4, metric).collect()}
+            assert len(got) == 360
+            for i in range(90):
+                want = sorted((j for j in range(90) if j != i), key=lambda j: (-round(s[i, j], 9), j))[:4]
+                assert [got[ids[i], k + 1][0] for k in range(4)] == [ids[j] for j in want], (metric, i)
+                assert np.allclose([got[ids[i], k + 1][1] for k in range(4)], s[i, want], atol=1e-7)
 
 
 def test_weights_that_do_not_count(spark):
@@ -159,7 +244,7 @@ def test_tails():
 def test_thresholds_of_a_known_curve(spark):
     d = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.7), (1, 0.6), (0, 0.5), (0, 0.5), (None, 0.4), (1, None)], "y int, s double")
     sw = decisions.sweep(d, "y", "s")
-    assert decisions.auc(sw).first().auc == pytest.approx(8 / 9)
+    assert decisions.auc(d, "y", "s").first().auc == pytest.approx(8 / 9)
     assert decisions.pick(sw, "youden").first().threshold == 0.6
     assert decisions.pick(sw, "min-precision", min_precision=1.0).first().threshold == 0.8
 
