@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import ordered_sums
+from .quality import missing
 from ..functions.columns import finite, multi_value, normal_cdf
 
 
@@ -22,11 +24,11 @@ def fold_of(id_col: str, folds: int, seed: int = 42):
 
 
 def ecdf(train: DataFrame, other: DataFrame, column: str, name: str) -> DataFrame:
-    """other with P(X <= x) of train, exactly: both sides' distinct values lie in one window."""
+    """other with P(X <= x) of train, exactly, from the counted values of both sides."""
     t = train.where(finite(column).isNotNull()).groupBy(finite(column).alias("_x")).agg(F.count("*").alias("_n"))
     o = other.where(finite(column).isNotNull()).select(finite(column).alias("_x"), F.lit(0).cast("long").alias("_n")).distinct()
-    steps = t.unionByName(o).groupBy("_x").agg(F.sum("_n").alias("_n"))
-    table = steps.select("_x", (F.sum("_n").over(_all().orderBy("_x")) / F.nullif(F.sum("_n").over(_all()), F.lit(0))).alias(name))
+    steps = ordered_sums(t.unionByName(o).groupBy(F.col("_x").alias("x")).agg(F.sum("_n").alias("n")))
+    table = steps.select(F.col("x").alias("_x"), ((F.col("n_before") + F.col("n")) / F.nullif("n_all", F.lit(0))).alias(name))
     return other.join(table, finite(column) == F.col("_x"), "left").drop("_x")
 
 
@@ -48,9 +50,9 @@ def fit_multi_hot(train: DataFrame, column: str) -> DataFrame:
 
 def apply_multi_hot(vocabulary: Sequence[str], df: DataFrame, column: str, name: str = "cat") -> DataFrame:
     items = multi_value(column)
-    out = {f"{name}_{v}": F.array_contains(items, v).cast("int") for v in vocabulary}
+    out = {f"{name}__{v}": F.array_contains(items, v).cast("int") for v in vocabulary}
     out[f"{name}__count"] = F.size(items)
-    out[f"{name}__unknown"] = F.size(F.array_except(items, F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")))
+    out[f"{name}__unknown"] = (F.size(F.array_except(items, F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"))) > 0).cast("int")
     return df.withColumns(out)
 
 
@@ -141,3 +143,13 @@ def one_se_rule(results: DataFrame, size: str = "k", score: str = "mean_score",
     """One row: the least size whose score is within a standard error of the best."""
     best = results.agg(F.max_by(F.col(score) - F.col(se), score).alias("_floor"))
     return results.crossJoin(best).where(F.col(score) >= F.col("_floor")).agg(F.min(size).alias("chosen"))
+
+
+def missing_indicator(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with <column>_isna, 0 or 1, for each column."""
+    return df.withColumns({f"{c}_isna": missing(df, c).cast("int") for c in columns})
+
+
+def availability_audit(features: DataFrame, feature: str, available: str, cutoff) -> DataFrame:
+    """(feature, leaky): of features whose values are known from a time on, those that are only known after the cutoff. A feature without a time isn't leaky."""
+    return features.select(F.col(feature).alias("feature"), F.coalesce(F.col(available) > F.lit(cutoff), F.lit(False)).alias("leaky"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut_lineage
+from ..sources.tables import cut_lineage, drop_step
 
 
 def profile(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = cut_lineage(small)
+        before, now = now, cut_lineage(small)
+        drop_step(before)
         row = tuple(now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_000_007)))).first())
         if row == state:
             break
@@ -58,7 +59,8 @@ def triangles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
 def split(edges: DataFrame, src: str = "src", dst: str = "dst", mode: str = "inductive", test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """edges with split: inductive puts nodes on a side, and edges across are "dropped"; transductive puts edges on a side."""
     cut = int(test_size * 1_000_000)
-    side = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1_000_000)) < cut
+    # of the hash's first 32 bits, so that any engine can tell a side
+    side = lambda *c: F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(x).cast("string") for x in c], F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % 1_000_000 < cut
     if mode == "transductive":
         return edges.withColumn("split", F.when(side(src, dst), "test").otherwise("train"))
     a, b = side(src), side(dst)
@@ -72,7 +74,9 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     while n:
         kept = e.join(e.select(F.col(src).alias(dst)).distinct(), dst, "left_semi").join(e.select(F.col(dst).alias(src)).distinct(), src, "left_semi").select(src, dst)
         kept = cut_lineage(kept)
-        if (m := kept.count()) == n:
+        drop_step(e)
+        m, e = kept.count(), kept
+        if m == n:
             break
-        e, n = kept, m
+        n = m
     return e

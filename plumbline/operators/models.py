@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .decisions import auc, sweep
+from .decisions import auc
 from .features import fold_of
 
 
@@ -38,7 +39,7 @@ def single_feature_auc(df: DataFrame, id_col: str, label: str, columns: Sequence
     out = None
     for c in columns:
         s = out_of_fold(assembled(df, [c], False), id_col, label, DecisionTreeClassifier(maxDepth=3, seed=42), folds)
-        a = auc(sweep(s, "label", "score")).select(F.lit(c).alias("column"), "auc", (F.col("auc") > threshold).alias("suspicious"))
+        a = auc(s, "label", "score").select(F.lit(c).alias("column"), "auc", (F.col("auc") > threshold).alias("suspicious"))
         out = a if out is None else out.unionByName(a)
     return out
 
@@ -46,7 +47,7 @@ def single_feature_auc(df: DataFrame, id_col: str, label: str, columns: Sequence
 def separability(df: DataFrame, id_col: str, label: str, folds: int = 5) -> DataFrame:
     """One row (n, accuracy, auc) of logistic regression out of fold. df has features."""
     s = out_of_fold(df, id_col, label, LogisticRegression(maxIter=30), folds)
-    return s.agg(F.count("*").alias("n"), F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int")).alias("accuracy")).crossJoin(auc(sweep(s, "label", "score")))
+    return s.agg(F.count("*").alias("n"), F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int")).alias("accuracy")).crossJoin(auc(s, "label", "score"))
 
 
 def suspect_labels(df: DataFrame, id_col: str, label: str, thresh: float = 0.95, folds: int = 5) -> DataFrame:
@@ -59,12 +60,17 @@ def missingness_auc(df: DataFrame, id_col: str, column: str, predictors: Sequenc
     """One row (auc, verdict): whether other columns tell where a column is missing; near one half they don't (MCAR is plausible), above 0.6 they do (MAR)."""
     d = df.withColumn("_missing", F.col(column).isNull().cast("int"))
     s = out_of_fold(assembled(d, predictors, False), id_col, "_missing", RandomForestClassifier(numTrees=30, maxDepth=5, seed=42), folds)
-    return auc(sweep(s, "label", "score")).withColumn("verdict", F.when(F.col("auc") >= 0.6, "depends_on_others").otherwise("no_sign_of_dependence"))
+    return auc(s, "label", "score").withColumn("verdict", F.when(F.col("auc") >= 0.6, "depends_on_others").otherwise("no_sign_of_dependence"))
+
+
+def _noise(columns: Sequence[str], seed: int):
+    """Evenly spread numbers by the hash of a row's values: the same on every cluster; rows that are equal have equal ones."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
 
 
 def forest_importance(df: DataFrame, label: str, columns: Sequence[str], trees: int = 50, noise: int = 2, seed: int = 42) -> DataFrame:
     """(column, importance, above_noise): impurity importance beside columns of noise that are added; what isn't above the greatest of them is no better than chance."""
-    d = df.where(F.col(label).isNotNull()).withColumns({f"_noise{k}": F.randn(seed + k) for k in range(noise)})
+    d = df.where(F.col(label).isNotNull()).withColumns({f"_noise{k}": _noise([label, *columns], seed + k) for k in range(noise)})
     names = [*columns, *[f"_noise{k}" for k in range(noise)]]
     model = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=5, seed=seed).fit(assembled(d, names, False))
     w = dict(zip(names, map(float, model.featureImportances.toArray()), strict=True))
@@ -123,3 +129,106 @@ def mrmr(relevance: DataFrame, correlations: DataFrame, k: int) -> DataFrame:
 
 def rank_of(df: DataFrame, score: str, id_col: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(score), id_col)))
+
+
+def _shuffled(df: DataFrame, id_col: str, column: str, buckets: int, seed: int) -> DataFrame:
+    """df with the values of a column dealt anew within buckets of rows by the hash of the id: a row gets that of the next row in a second order, so every value is used once and no task sorts the whole table."""
+    b = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(buckets))
+    own = df.withColumn("_b", b)
+    first = own.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(id_col, F.lit(seed + 1)), id_col)))
+    second = own.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(id_col, F.lit(seed + 2)), id_col))).select("_b", "_r", F.col(column).alias("_v"))
+    return first.join(second, ["_b", "_r"]).withColumn(column, F.col("_v")).drop("_b", "_r", "_v")
+
+
+def permutation_importance_oof(df: DataFrame, id_col: str, label: str, columns: Sequence[str], folds: int = 3, buckets: int = 64, seed: int = 42) -> DataFrame:
+    """(column, importance): loss of the area under the curve, out of fold, when a column's values are dealt anew among the rows that a model hasn't seen."""
+    d = df.where(F.col(label).isNotNull()).withColumn("_f", fold_of(id_col, folds, seed)).withColumn("label", F.col(label).cast("double")).dropna(subset=list(columns))
+    total: dict[str, list[float]] = {c: [] for c in columns}
+    for k in range(folds):
+        model = LogisticRegression(maxIter=30).fit(assembled(d.where(F.col("_f") != k), columns, False))
+        held = d.where(F.col("_f") == k)
+        score = lambda x: auc(model.transform(assembled(x, columns, False)).select("label", vector_to_array("probability").getItem(1).alias("score")), "label", "score").first().auc or 0.5  # noqa: B023, E731
+        base = score(held)
+        for j, c in enumerate(columns):
+            total[c].append(base - score(_shuffled(held, id_col, c, buckets, seed + 10 * j)))
+    return df.sparkSession.createDataFrame([(c, round(sum(v) / len(v), 5)) for c, v in total.items()], "column string, importance double")
+
+
+def null_target_importance(df: DataFrame, id_col: str, label: str, columns: Sequence[str], n: int = 5, buckets: int = 64, trees: int = 20, seed: int = 42) -> DataFrame:
+    """(column, real, null_p95, above_noise): impurity importance against that for targets dealt anew n times."""
+    d = df.where(F.col(label).isNotNull()).dropna(subset=list(columns))
+    fit = lambda x, k: RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=5, seed=seed + k).fit(assembled(x, columns, False)).featureImportances.toArray()
+    real = fit(d, 0)
+    null = np.percentile(np.array([fit(_shuffled(d, id_col, label, buckets, seed + 10 * (k + 1)), k + 1) for k in range(n)]), 95, axis=0)
+    return df.sparkSession.createDataFrame([(c, round(float(real[j]), 5), round(float(null[j]), 5), bool(real[j] > null[j])) for j, c in enumerate(columns)], "column string, real double, null_p95 double, above_noise boolean")
+
+
+def rfe_select(df: DataFrame, label: str, columns: Sequence[str], n_features: int, seed: int = 42) -> DataFrame:
+    """(column, ranking, selected): the least important column leaves, the model is fitted again, until n_features are left (ranking 1)."""
+    d, left, rank = df.where(F.col(label).isNotNull()).dropna(subset=list(columns)), list(columns), {}
+    while len(left) > n_features:
+        w = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=20, maxDepth=5, seed=seed).fit(assembled(d, left, False)).featureImportances.toArray()
+        worst = left[int(np.argmin(w))]
+        rank[worst] = len(left) - n_features + 1
+        left.remove(worst)
+    return df.sparkSession.createDataFrame([(c, rank.get(c, 1), c in left) for c in columns], "column string, ranking int, selected boolean")
+
+
+def anomalous_clusters(df: DataFrame, id_col: str, columns: Sequence[str], least: int = 1, most_groups: int = 50, most_rounds: int = 100) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """(groups, centres, scaled rows): clusters extracted one by one. The row farthest from the grand mean is a seed; rows nearer to it than to the grand mean are its members, and their mean the new seed, until nothing changes; then they leave.
+    Columns are centred and divided by their range. groups: (order, size, contribution, is_kept); kept are those of more than `least` rows, and centres are theirs.
+
+    Each round is one pass of sums; which rows have left is told by the centres that took them, so no row is marked or written."""
+    m = df.dropna(subset=list(columns)).agg(*[f(F.col(c).cast("double")).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("a", F.min), ("z", F.max))], F.count("*").alias("n")).first()
+    x = df.dropna(subset=list(columns)).select(id_col, F.array(*[(F.col(c).cast("double") - m[f"m_{i}"]) / ((m[f"z_{i}"] - m[f"a_{i}"]) or 1.0) for i, c in enumerate(columns)]).alias("v"))
+    size = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e)
+    to = lambda c: F.aggregate(F.zip_with("v", F.array(*map(F.lit, map(float, c))), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e)
+    x = x.withColumn("_d", size(F.col("v")))
+    scatter = x.agg(F.sum("_d")).first()[0] or 0.0
+    if scatter <= 0:
+        raise ValueError("all rows coincide")
+    groups, centres, left = [], [], x
+    while len(groups) < most_groups:
+        far = left.orderBy(F.desc("_d"), id_col).limit(1).collect()
+        if not far:
+            break
+        c, n = np.array(far[0].v), None
+        for _ in range(most_rounds):
+            near = left.where(to(c) < F.col("_d"))
+            s = near.agg(F.count("*").alias("n"), *[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(len(columns))]).first()
+            if not s.n:
+                # a seed at the grand mean has nobody nearer
+                near, n, mean = left.where(F.col(id_col) == far[0][id_col]), 1, np.array(far[0].v)
+                break
+            mean, same = np.array([s[f"s{i}"] for i in range(len(columns))]) / s.n, s.n == n
+            n = s.n
+            if same and np.allclose(mean, c, atol=1e-12):
+                break
+            c = mean
+        groups.append((len(groups), n, round(n * float((mean**2).sum()) / scatter, 4), n > least))
+        if n > least:
+            centres.append(mean)
+        left = left.where(F.col(id_col) != far[0][id_col]) if near is not None and n == 1 else left.where(~(to(c) < F.col("_d")))
+    return df.sparkSession.createDataFrame(groups, "`order` int, size long, contribution double, is_kept boolean"), np.array(centres), x
+
+
+def ik_means(df: DataFrame, id_col: str, columns: Sequence[str], least: int = 1, rounds: int = 20) -> DataFrame:
+    """(id, cluster): k-means from the centres of the anomalous clusters, as many as were kept; ties go to the first."""
+    _, c, x = anomalous_clusters(df, id_col, columns, least)
+    if not len(c):
+        raise ValueError("no group has more than `least` rows")
+    x = x.select(id_col, "v")
+
+    def nearest(c: np.ndarray):
+        d = F.array(*[F.aggregate(F.zip_with("v", F.array(*map(F.lit, map(float, q))), lambda p, r: (p - r) * (p - r)), F.lit(0.0), lambda s, e: s + e) for q in c])
+        return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+
+    for _ in range(rounds):
+        s = x.groupBy(nearest(c).alias("k")).agg(F.count("*").alias("n"), *[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(len(columns))]).collect()  # a row a cluster
+        new = c.copy()
+        for r in s:
+            new[r.k] = [r[f"m{i}"] for i in range(len(columns))]
+        done, c = np.allclose(new, c, atol=1e-12), new
+        if done:
+            break
+    return x.select(id_col, nearest(c).alias("cluster"))

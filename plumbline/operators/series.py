@@ -158,10 +158,43 @@ def half_split(df: DataFrame, col: str, order: Sequence[str]) -> DataFrame:
     return halves.groupBy("half").agg(F.count("*").alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"))
 
 
-def purge_and_embargo(train: DataFrame, at: str, low, high, horizon: float, embargo: float = 0) -> DataFrame:
-    """Rows of train whose label span doesn't reach into the test's [low, high] and that don't follow it within the embargo."""
-    t = F.col(at)
-    return train.where(~((t + horizon >= low) & (t < low)) & ~((t >= low) & (t <= high)) & ~((t > high) & (t <= F.lit(high) + embargo)))
+def purge_and_embargo(train: DataFrame, at: str, low, high, horizon: float, embargo: float | None = None) -> DataFrame:
+    """Rows of train (times as numbers) whose label span doesn't reach into the test's [low, high] and that don't follow it within the embargo, which is the horizon if it isn't given."""
+    purged, held = _purged(at, low, high, horizon, embargo)
+    return train.where(F.coalesce(~(purged | held), F.lit(True)))
+
+
+def purge_report(train: DataFrame, at: str, low, high, horizon: float, embargo: float | None = None) -> DataFrame:
+    """One row (n_train_before, n_purged, n_embargoed, n_train_after, fraction_dropped)."""
+    purged, held = _purged(at, low, high, horizon, embargo)
+    a = train.agg(F.count("*").alias("n_train_before"), F.count_if(purged).alias("n_purged"), F.count_if(held).alias("n_embargoed"))
+    dropped = F.col("n_purged") + F.col("n_embargoed")
+    return a.withColumns({"n_train_after": F.col("n_train_before") - dropped, "fraction_dropped": F.try_divide(dropped, F.col("n_train_before"))})
+
+
+def _purged(at: str, low, high, horizon: float, embargo: float | None):
+    h = max(horizon, 0)
+    e = h if embargo is None else max(embargo, 0)
+    return (F.col(at) + h >= low) & (F.col(at) < low), (F.col(at) > high) & (F.col(at) <= F.lit(high) + e)
+
+
+def percent_change(df: DataFrame, col: str, lag: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """df with <col>_pct<lag>: the change against the value `lag` rows before, relative to it; null where that is missing or 0."""
+    before = F.lag(col, lag).over(_w(group, order))
+    return df.withColumn(f"{col}_pct{lag}", F.try_divide(F.col(col) - before, before))
+
+
+def reversed_column(df: DataFrame, col: str, order: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """df with <col>_reversed: the value of the row of mirrored rank in its group; order has to tell a group's rows apart."""
+    w = _w(group, order)
+    ranked = df.withColumn("_r", F.row_number().over(w)).withColumn("_m", F.count("*").over(Window.partitionBy(*group)) + 1 - F.col("_r"))
+    other = ranked.select(*group, F.col("_m").alias("_r"), F.col(col).alias(f"{col}_reversed"))
+    return ranked.drop("_m").join(other, [*group, "_r"]).drop("_r")
+
+
+def weighted_errors(df: DataFrame, rmsse: str, weight: str) -> DataFrame:
+    """One row (wrmsse): errors of several series, weighted by their share."""
+    return df.agg(F.try_divide(F.sum(F.col(rmsse) * F.col(weight)), F.sum(weight)).alias("wrmsse"))
 
 
 def share_of_gap(x: Column, y: Column) -> Column:

@@ -10,9 +10,11 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import finite
+from ..functions.ordering import levels, ordered_extreme, ordered_sums, quantiles
 from ..functions.distributions import chi2_tail, f_tail, normal_cdf, normal_quantile, t_quantile, t_tail
 
 
@@ -73,17 +75,16 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def binned(df: DataFrame, column: str, bins: int = 10, name: str | None = None) -> DataFrame:
     """df with the number of the quantile bin of column."""
-    x = finite(column)
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_e"))
+    x, names = finite(column), [f"_e{k}" for k in range(1, bins)]
+    edges = quantiles(df, x, [k / bins for k in range(1, bins)], names).select(F.array(*names).alias("_e"))
     return df.crossJoin(edges).withColumn(name or f"{column}_bin", F.size(F.filter("_e", lambda e: x > e))).drop("_e")
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the average-tie rank of column; null for a missing value. Ranks come from counts by value: the window runs over distinct values."""
+    """df with the average-tie rank of column; null for a missing value. Ranks come from counts by value."""
     x = finite(column)
-    v = df.where(x.isNotNull()).groupBy(x.alias("_x")).agg(F.count("*").alias("_n"))
-    v = v.withColumn(name, F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_x")) - (F.col("_n") - 1) / 2)
-    return df.join(v.select("_x", name), x == F.col("_x"), "left").drop("_x")
+    v = ordered_sums(levels(df, x)).select(F.col("x").alias("_x"), (F.col("n_before") + (F.col("n") + 1) / 2).alias(name))
+    return df.join(v, x == F.col("_x"), "left").drop("_x")
 
 
 def rank_transform(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -100,43 +101,61 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def compare_groups(df: DataFrame, value: str, by: str) -> DataFrame:
-    """One row: Cohen's d and the Mann-Whitney p of two groups (d is of the greater group minus the lesser), rank epsilon squared of the Kruskal-Wallis statistic for any number."""
+    """(metric, value, p_value, groups, n): of two groups cohens_d, first less second in the order of their names, with the p of the Mann-Whitney test (normal, with ties and continuity); of more
+    epsilon_sq_rank, (h - k + 1) / (n - k) of the Kruskal-Wallis statistic h, with its p. No row for fewer groups. Groups are MOST_GROUPS at most."""
     d = df.where(finite(value).isNotNull() & F.col(by).isNotNull()).select(finite(value).alias("v"), F.col(by).alias("g"))
-    g = average_ranks(d, "v", "r").groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s"), F.sum("r").alias("r")).orderBy("g").collect()
+    g = _groups(average_ranks(d, "v", "r").groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s"), F.sum("r").alias("r")))
     ties = d.groupBy("v").count().agg(F.sum(F.pow("count", F.lit(3)) - F.col("count")).alias("t")).first().t or 0.0
-    n = sum(x.n for x in g)
-    h = d_ = p = None
-    if n > 2 and len(g) > 1:
+    n, k, rows = sum(x.n for x in g), len(g), []
+    if k == 2:
+        a, b = g
+        pooled = math.sqrt(((a.n - 1) * (a.s or 0) + (b.n - 1) * (b.s or 0)) / max(1, n - 2))
+        u, mean = a.r - a.n * (a.n + 1) / 2, a.n * b.n / 2
+        sd = math.sqrt(a.n * b.n / 12 * (n + 1 - ties / (n * (n - 1))))
+        p = min(1.0, 2 * (1 - normal_cdf(max(0.0, abs(u - mean) - 0.5) / sd))) if sd else 1.0
+        rows.append(("cohens_d", round((a.m - b.m) / pooled if pooled else 0.0, 4), p, k, n))
+    elif k > 2:
         correction = 1 - ties / (n**3 - n)
-        h = (12 / (n * (n + 1)) * sum(x.r**2 / x.n for x in g) - 3 * (n + 1)) / correction if correction > 0 else 0.0
-        if len(g) == 2:
-            a, b = g
-            pooled = math.sqrt(((a.n - 1) * (a.s or 0) + (b.n - 1) * (b.s or 0)) / max(1, n - 2))
-            d_ = (b.m - a.m) / pooled if pooled else None
-            u, mean = a.r - a.n * (a.n + 1) / 2, a.n * b.n / 2
-            sd = math.sqrt(a.n * b.n / 12 * (n + 1 - ties / (n * (n - 1))))
-            p = min(1.0, 2 * (1 - normal_cdf(max(0.0, abs(u - mean) - 0.5) / sd))) if sd else 1.0
-    return df.sparkSession.createDataFrame([(len(g), n, d_, p, h, h / (n - 1) if h is not None else None)], "groups int, n long, cohens_d double, mann_whitney_p double, kruskal_h double, epsilon_squared double")
+        h = (12 / (n * (n + 1)) * sum(x.r**2 / x.n for x in g) - 3 * (n + 1)) / correction if correction > 0 else None
+        rows.append(("epsilon_sq_rank", round((h - k + 1) / (n - k), 4) if h is not None and n > k else None, chi2_tail(h, k - 1) if h is not None else None, k, n))
+    return df.sparkSession.createDataFrame(rows, "metric string, value double, p_value double, groups int, n long")
+
+
+#: Groups whose sums go to the driver; more are an error.
+MOST_GROUPS = 10_000
+
+
+def _groups(g: DataFrame, by: str = "g") -> list:
+    """Rows of grouped sums, in the order of the group."""
+    rows = g.limit(MOST_GROUPS + 1).collect()
+    if len(rows) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    return sorted(rows, key=lambda r: r[by])
 
 
 def holm(p: DataFrame, column: str = "p") -> DataFrame:
-    """p with adjusted: Holm's step-down."""
-    k = F.count(column).over(_all())
-    r = F.row_number().over(_all().orderBy(column))
-    raw = p.withColumn("_q", (k - r + 1) * F.col(column)).withColumn("_r", r)
-    return raw.withColumn("adjusted", F.least(F.lit(1.0), F.max("_q").over(_all().orderBy("_r")))).drop("_q", "_r")
+    """p with adjusted: Holm's step-down; null for a null p. Equal p-values are counted first and have one adjusted value."""
+    s = ordered_sums(levels(p, F.col(column)))
+    s = ordered_extreme(s.select("x", ((F.col("n_all") - F.col("n_before")) * F.col("x")).alias("_q")), "_q", "_a")
+    return _adjusted(p, column, s)
 
 
 def benjamini_hochberg(p: DataFrame, column: str = "p") -> DataFrame:
-    k = F.count(column).over(_all())
-    r = F.row_number().over(_all().orderBy(column))
-    raw = p.withColumn("_q", F.col(column) * k / r).withColumn("_r", r)
-    return raw.withColumn("adjusted", F.least(F.lit(1.0), F.min("_q").over(_all().orderBy(F.desc("_r"))))).drop("_q", "_r")
+    """p with adjusted: the step-up of Benjamini and Hochberg; null for a null p."""
+    s = ordered_sums(levels(p, F.col(column)))
+    s = ordered_extreme(s.select("x", (F.col("x") * F.col("n_all") / (F.col("n_before") + F.col("n"))).alias("_q")), "_q", "_a", "min", descending=True)
+    return _adjusted(p, column, s)
+
+
+def _adjusted(p: DataFrame, column: str, s: DataFrame) -> DataFrame:
+    table = s.select(F.col("x").alias("_x"), F.least(F.lit(1.0), "_a").alias("adjusted"))
+    return p.join(table, F.col(column).cast("double") == F.col("_x"), "left").drop("_x")
 
 
 def pairwise_differences(df: DataFrame, category: str, value: str, least: int = 3, level: float = 0.95) -> DataFrame:
     """(a, b, difference, t, df, p, low, high, hedges_g, adjusted) of every two levels: Welch's t with Holm's correction. Only the groups' moments leave Spark."""
-    g = df.where(F.col(category).isNotNull() & finite(value).isNotNull()).groupBy(F.col(category).cast("string").alias("c")).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("s")).where(F.col("n") >= least).orderBy("c").collect()
+    g = df.where(F.col(category).isNotNull() & finite(value).isNotNull()).groupBy(F.col(category).cast("string").alias("c")).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("s")).where(F.col("n") >= least)
+    g = _groups(g, "c")
     rows = []
     for i, a in enumerate(g):
         for b in g[i + 1 :]:
@@ -202,6 +221,43 @@ def dyadic_design_effect(edges: DataFrame, value: str, src: str = "src", dst: st
     return out.agg((F.first("tv") / F.first("tn")).alias("mean"), (F.first("var") / F.first("tn")).alias("naive_variance"), ((F.count("*") - 1) * F.var_pop("m")).alias("jackknife_variance"))
 
 
+def effect_verdict(deff):
+    """A column's verdict on a design effect."""
+    return F.when(deff < 1.1, "negligible").when(deff < 1.5, "moderate").when(deff.isNotNull(), "substantial").otherwise("undetermined")
+
+
+def overlapping_label_deff(df: DataFrame, horizon: str, n: str) -> DataFrame:
+    """df with uniqueness, deff_overlap, n_eff and verdict of labels that each look `horizon` rows ahead."""
+    h = F.greatest(F.col(horizon), F.lit(1))
+    deff = F.greatest(F.lit(1.0), 1 + (h - 1) * (2 * h - 1) / (3.0 * h))
+    return df.withColumns({"uniqueness": 1.0 / h, "deff_overlap": deff, "n_eff": F.col(n) / deff, "verdict": effect_verdict(deff)})
+
+
+def effective_n_for_association(df: DataFrame, icc_x: str, icc_y: str, size: str, n: str) -> DataFrame:
+    """df with deff_pair, n_eff_pair and verdict: an association suffers by the product of both columns' intraclass correlations, each held to 0 to 1 (0 where it is missing)."""
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(finite(c), F.lit(0.0))))
+    deff = F.greatest(F.lit(1.0), 1 + (F.col(size) - 1) * held(icc_x) * held(icc_y))
+    return df.withColumns({"deff_pair": deff, "n_eff_pair": F.col(n) / deff, "verdict": effect_verdict(deff)})
+
+
+def design_effect_report(df: DataFrame, columns: Sequence[str], group: str | None = None, weight: str | None = None) -> DataFrame:
+    """(column, deff_mean, deff_weights, deff_total, n_eff_total, verdict): clustering and unequal weights together; each is 1 where it isn't given. The product is exact where weights don't depend on the cluster."""
+    if group:
+        base = intraclass_correlation(df, group, columns).select("column", "n", F.col("deff").alias("deff_mean"))
+    else:
+        base = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count(finite(c)).alias("n"), F.lit(1.0).alias("deff_mean")) for c in columns]).alias("r")).select(F.inline("r"))
+    w = weight_design_effect(df, weight).select(F.coalesce("deff", F.lit(1.0)).alias("deff_weights")) if weight else df.sparkSession.range(1).select(F.lit(1.0).alias("deff_weights"))
+    total = F.coalesce("deff_mean", F.lit(1.0)) * F.col("deff_weights")
+    return base.crossJoin(w).select("column", "deff_mean", "deff_weights", total.alias("deff_total"), (F.col("n") / total).alias("n_eff_total"), effect_verdict(total).alias("verdict"))
+
+
+def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """One row (mean, weighted_mean, n): over rows that have a value and a finite weight above 0."""
+    ok = finite(value).isNotNull() & (finite(weight) > 0)
+    v, w = F.when(ok, finite(value)), F.when(ok, finite(weight))
+    return df.agg(F.avg(v).alias("mean"), F.try_divide(F.sum(v * w), F.sum(w)).alias("weighted_mean"), F.count(v).alias("n"))
+
+
 # ---------------------------------------------------------------- matrices of columns
 
 
@@ -394,6 +450,52 @@ def mcdonald_omega(df: DataFrame, items: Sequence[str]) -> float:
     return s / (s + float((1 - h).sum()))
 
 
+def rotate_loadings(loadings: np.ndarray, method: str = "promax") -> tuple[np.ndarray, np.ndarray]:
+    """(loadings, factor correlations) rotated by "varimax" or "promax", or as they are ("none"); a single factor isn't rotated."""
+    k = loadings.shape[1]
+    if method == "none" or k < 2:
+        return loadings, np.eye(k)
+    return promax(loadings) if method == "promax" else (varimax(loadings), np.eye(k))
+
+
+def tau_equivalence(df: DataFrame, items: Sequence[str]) -> DataFrame:
+    """One row (n, alpha, omega, observed_gap, loading_sd, cutoff, verdict): whether items load alike, so that alpha will do. The cutoff falls with the rows to 0.1; the gap of omega and alpha is told, and decides nothing."""
+    n, _, cov = moments(df, items)
+    if len(items) < 3 or n < 10:
+        verdict = "too_few_items" if len(items) < 3 else "insufficient_rows"
+        return df.sparkSession.createDataFrame([(n, None, None, None, None, None, verdict)], _TAU)
+    load, h = principal_axes(correlation(cov), 1)
+    alpha, s = _alpha(cov), float(load.sum()) ** 2
+    omega, sd, cutoff = s / (s + float((1 - h).sum())), float(load.std(ddof=1)), max(0.1, 1.4 / math.sqrt(n))
+    verdict = "improper_solution_heywood" if h.max() >= 1 else "tau_equivalent_alpha_is_appropriate" if sd <= cutoff else "mildly_congeneric_gap_is_negligible" if sd <= 0.2 else "congeneric_prefer_omega"
+    return df.sparkSession.createDataFrame([(n, alpha, omega, omega - alpha, sd, cutoff, verdict)], _TAU)
+
+
+_TAU = "n long, alpha double, omega double, observed_gap double, loading_sd double, cutoff double, verdict string"
+
+
+def _alpha(cov: np.ndarray) -> float:
+    k = len(cov)
+    return float(k / (k - 1) * (1 - np.trace(cov) / cov.sum()))
+
+
+def indicator_direction(df: DataFrame, items: Sequence[str]) -> DataFrame:
+    """One row (n, alpha, mean_inter_item_r, n_negative_pairs, verdict): items that hardly go together may be causes of what they are to measure, or a broken scale."""
+    n, _, cov = moments(df, items)
+    schema = "n long, alpha double, mean_inter_item_r double, n_negative_pairs int, verdict string"
+    if len(items) < 3 or n < 10:
+        return df.sparkSession.createDataFrame([(n, None, None, None, "too_few_items" if len(items) < 3 else "insufficient_rows")], schema)
+    r, alpha = correlation(cov)[np.triu_indices(len(items), 1)], _alpha(cov)
+    odd = np.nanmean(r) < 0.1 or alpha < 0.3
+    return df.sparkSession.createDataFrame([(n, alpha, round(float(np.nanmean(r)), 4), int((r < 0).sum()), "formative_or_broken_reflective_scale_suspected" if odd else "consistent_with_reflective_indicators")], schema)
+
+
+def positive_definite(r: np.ndarray) -> tuple[float, float, bool, int]:
+    """(least eigenvalue, determinant, whether all are above zero, how many are below) of a symmetric matrix."""
+    w = np.linalg.eigvalsh(r)
+    return float(w.min()), float(np.linalg.det(r)), bool(w.min() > 0), int((w < 0).sum())
+
+
 def eigenvalue_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(rank, eigenvalue, share, kaiser) of the correlation matrix."""
     _, _, cov = moments(df, columns)
@@ -472,6 +574,40 @@ def polychoric(df: DataFrame, x: str, y: str) -> float:
     return (lo + hi) / 2
 
 
+def polyserial(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (n, n_categories, rho, rho_unclipped, pearson_r, verdict): of a number and an ordinal code cut from a normal latent variable. Codes are counted by their ranks; rho is held to -1 to 1."""
+    d = df.where(finite(x).isNotNull() & F.col(y).isNotNull()).select(finite(x).alias("x"), F.col(y).alias("y"))
+    g = _groups(d.groupBy("y").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")), "y")
+    n, schema = sum(r.n for r in g), "n long, n_categories int, rho double, rho_unclipped double, pearson_r double, verdict string"
+    row = lambda *v: df.sparkSession.createDataFrame([v], schema)
+    if n < 10 or len(g) < 2:
+        return row(n, len(g), None, None, None, "insufficient_rows" if n < 10 else "constant_column")
+    w = np.array([r.n for r in g], float)
+    code, m, v = np.arange(len(g)), np.array([r.m for r in g]), np.array([r.v for r in g])
+    mean_c, mean_x = (w * code).sum() / n, (w * m).sum() / n
+    var_c, var_x = (w * (code - mean_c) ** 2).sum() / n, (w * (v + (m - mean_x) ** 2)).sum() / n
+    if not var_x:
+        return row(n, len(g), None, None, None, "no_variance")
+    r = (w * (code - mean_c) * (m - mean_x)).sum() / n / math.sqrt(var_c * var_x)
+    taus = [normal_quantile(c / n) for c in np.cumsum(w)[:-1]]
+    rho = r * math.sqrt(var_c * n / (n - 1)) / sum(math.exp(-t * t / 2) / math.sqrt(2 * math.pi) for t in taus)
+    return row(n, len(g), round(float(np.clip(rho, -1, 1)), 4), round(float(rho), 4), round(float(r), 4), "exceeds_unity_check_the_ordinal_model" if abs(rho) > 1 else "measured")
+
+
+def polychoric_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, polychoric, pearson, smoothed) of every two ordinal columns over the rows that have all; smoothed are those of the nearest matrix whose eigenvalues are at least 1e-6."""
+    d = df.dropna(subset=list(columns))
+    r, p = np.eye(len(columns)), correlation(moments(d, columns)[2])
+    for i in range(len(columns)):
+        for j in range(i + 1, len(columns)):
+            r[i, j] = r[j, i] = polychoric(d, columns[i], columns[j])
+    w, v = np.linalg.eigh(r)
+    s = v @ np.diag(np.maximum(w, 1e-6)) @ v.T
+    s /= np.sqrt(np.outer(np.diag(s), np.diag(s)))
+    rows = [(columns[i], columns[j], float(r[i, j]), float(p[i, j]), float(s[i, j])) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, polychoric double, pearson double, smoothed double")
+
+
 # ---------------------------------------------------------------- resampling
 
 
@@ -518,3 +654,127 @@ def anova_p(msb: float, msw: float, df1: int, df2: int) -> float:
 
 def chi2_p(x: float, df: int) -> float:
     return chi2_tail(x, df)
+
+
+def bootstrap_diff_ci(df: DataFrame, id_col: str, value: str, group: str, n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """One row (estimate, low, high, excludes_zero, n_a, n_b): percentile interval of the difference of the means of two groups (group is true for the first), resampled each on its own. As in bootstrap_ci, a row counts in a replicate by a Poisson(1) draw."""
+    x = df.where(finite(value).isNotNull() & F.col(group).isNotNull()).select(F.col(id_col).alias("i"), finite(value).alias("v"), F.col(group).cast("boolean").alias("g"))
+    w = _poisson(seed)
+    reps = x.select("i", "v", "g", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b")).withColumn("w", w).groupBy("b", "g").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))
+    d = reps.groupBy("b").agg((F.max(F.when(F.col("g"), F.col("m"))) - F.max(F.when(~F.col("g"), F.col("m")))).alias("d"))
+    a = (1 - level) / 2
+    q = quantiles(d, F.col("d"), [a, 1 - a], ["low", "high"])
+    n = x.agg((F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("estimate"), F.count_if("g").alias("n_a"), F.count_if(~F.col("g")).alias("n_b"))
+    return n.crossJoin(q).select(F.round("estimate", 6).alias("estimate"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"), "n_a", "n_b")
+
+
+def _poisson(seed: int):
+    """How often row i counts in replicate b."""
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    u = F.pmod(F.xxhash64("i", "b", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    return sum(((u >= float(c)).cast("int") for c in cuts), F.lit(0))
+
+
+def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Rank correlations of every two columns over the rows that have all of them."""
+    d = df.where(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)))
+    for c in columns:
+        d = average_ranks(d, c, f"_rank_{c}")
+    return correlation(moments(d, [f"_rank_{c}" for c in columns])[2])
+
+
+def prune_redundant(df: DataFrame, columns: Sequence[str], scores: Sequence[float] | None = None, method: str = "spearman", threshold: float = 0.9) -> DataFrame:
+    """(column, kept, because_of): in the order of scores (or as given), a column is kept unless it correlates with a kept one at the threshold or above, in size; that one is named."""
+    r = np.abs(spearman_matrix(df, columns) if method == "spearman" else correlation(moments(df, columns)[2]))
+    order = sorted(range(len(columns)), key=lambda k: -scores[k]) if scores is not None else range(len(columns))
+    kept, rows = [], []
+    for k in order:
+        twin = next((j for j in kept if r[k, j] >= threshold), None)
+        rows.append((columns[k], twin is None, None if twin is None else columns[twin]))
+        if twin is None:
+            kept.append(k)
+    return df.sparkSession.createDataFrame(rows, "column string, kept boolean, because_of string")
+
+
+def composite_target_probe(df: DataFrame, columns: Sequence[str], target: str, exact: float = 1e-6, near: float = 0.05) -> DataFrame:
+    """One row (verdict, relative_residual, r2, n, most_redundant, minimal_subset, intercept, weights, looks_like_plain_sum): whether the target is a linear combination of columns.
+
+    verdict: insufficient_rows (fewer than twice the coefficients), degenerate_target, exact_identity, near_identity, no_identity. For an identity, columns are dropped while the residual stays within ten times the whole one."""
+    names = list(columns)
+    schema = "verdict string, relative_residual double, r2 double, n long, most_redundant string, minimal_subset array<string>, intercept double, weights array<double>, looks_like_plain_sum boolean"
+    row = lambda *v: df.sparkSession.createDataFrame([tuple(v) + (None,) * (9 - len(v))], schema)
+    n, mean, cov = moments(df, [*names, target])
+    if not n or not names or n < 2 * (len(names) + 1):
+        return row("insufficient_rows", None, None, n)
+    if cov[-1, -1] == 0:
+        return row("degenerate_target", None, None, n)
+
+    def fitted(chosen: list[int]) -> tuple[float, np.ndarray]:
+        """(residual over the target's deviation, weights), from moments scaled to one."""
+        scale = np.sqrt(np.maximum(np.diag(cov)[chosen], 1e-300))
+        a, b = cov[np.ix_(chosen, chosen)] / np.outer(scale, scale), cov[chosen, -1] / scale
+        w = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+        left = cov[-1, -1] - 2 * w @ b + w @ a @ w
+        return float(np.sqrt(max(left, 0) / cov[-1, -1])), w / scale
+
+    every = list(range(len(names)))
+    whole, _ = fitted(every)
+    # moments lose what lies below the square root of a double's precision
+    verdict = "exact_identity" if whole < max(exact, 3e-7) else "near_identity" if whole < near else "no_identity"
+    spare = min((fitted([j for j in every if j != k])[0], names[k]) for k in every)[1] if len(names) > 1 else None
+    if verdict == "no_identity":
+        return row(verdict, whole, 1 - whole**2, n, spare)
+    kept = list(every)
+    r = np.abs(cov[:-1, -1]) / np.sqrt(np.maximum(np.diag(cov)[:-1], 1e-300))
+    for k in sorted(every, key=lambda k: r[k]):
+        trial = [j for j in kept if j != k]
+        if trial and fitted(trial)[0] <= max(10 * whole, exact, 3e-7):
+            kept = trial
+    _, w = fitted(kept)
+    return row(verdict, whole, 1 - whole**2, n, spare, [names[k] for k in kept], round(float(mean[-1] - mean[kept] @ w), 6), [round(float(x), 6) for x in w], bool(len(w) > 1 and np.allclose(w, 1, atol=1e-4)))
+
+
+#: Conventions for quantiles: (alpha, beta) of the linear ones; position n p + alpha + p (1 - alpha - beta).
+CONVENTIONS = {"linear": (1, 1), "hazen": (0.5, 0.5), "weibull": (0, 0), "median_unbiased": (1 / 3, 1 / 3), "normal_unbiased": (3 / 8, 3 / 8)}
+
+
+def quantile_conventions(df: DataFrame, column: str, ps: Sequence[float] = (0.25, 0.5, 0.75), k: float = 1.5) -> DataFrame:
+    """(method, q_<p>..., n_outliers): exact quantiles by nine conventions, and how many values lie beyond k interquartile ranges of each one's quartiles (null without both quartiles)."""
+    s = ordered_sums(levels(df, finite(column)))
+    n = s.agg(F.max("n_all")).first()[0] or 0
+    if n < 4:
+        return df.sparkSession.createDataFrame([], "method string, " + ", ".join(f"q_{round(p * 100)} double" for p in ps) + ", n_outliers long")
+    spots: dict[str, list[tuple[int, int, float]]] = {}
+    for name, (a, b) in CONVENTIONS.items():
+        spots[name] = []
+        for p in ps:
+            h = n * p + a + p * (1 - a - b) - 1
+            low = math.floor(h)
+            spots[name].append((min(max(low, 0), n - 1), min(max(low + 1, 0), n - 1), h - low))
+    at = lambda v: min(max(v, 0), n - 1)
+    spots["inverted_cdf"] = [(at(math.ceil(n * p) - 1),) * 2 + (0.0,) for p in ps]
+    spots["averaged_inverted_cdf"] = [(at(math.ceil(n * p) - 1), at(math.floor(n * p)), 0.5) for p in ps]
+    spots["closest_observation"] = [(at(round(n * p) - 1),) * 2 + (0.0,) for p in ps]
+    spots["interpolated_inverted_cdf"] = [(at(math.floor(n * p) - 1), at(math.floor(n * p)), n * p - math.floor(n * p)) for p in ps]
+    ranks = sorted({r for x in spots.values() for low, high, _ in x for r in (low, high)})
+    got = s.agg(*[F.max(F.when((F.col("n_before") <= r) & (F.col("n_before") + F.col("n") > r), F.col("x"))).alias(f"r{r}") for r in ranks]).first()
+    rows = [(m, *[got[f"r{low}"] + (got[f"r{high}"] - got[f"r{low}"]) * part for low, high, part in x]) for m, x in spots.items()]
+    quarts = (list(ps).index(0.25) + 1, list(ps).index(0.75) + 1) if {0.25, 0.75} <= set(ps) else None
+    if quarts:
+        bounds = [(x[quarts[0]] - k * (x[quarts[1]] - x[quarts[0]]), x[quarts[1]] + k * (x[quarts[1]] - x[quarts[0]])) for x in rows]
+        beyond = s.agg(*[F.sum(F.when((F.col("x") < lo) | (F.col("x") > hi), F.col("n")).otherwise(0)).alias(f"o{i}") for i, (lo, hi) in enumerate(bounds)]).first()
+        rows = [(*x, beyond[f"o{i}"]) for i, x in enumerate(rows)]
+    else:
+        rows = [(*x, None) for x in rows]
+    return df.sparkSession.createDataFrame(rows, "method string, " + ", ".join(f"q_{round(p * 100)} double" for p in ps) + ", n_outliers long")
+
+
+def association(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (measure, value): Spearman's correlation of two numbers of more than two kinds, the correlation ratio of one such number and a category, Cramér's V of two categories."""
+    number = {c: isinstance(df.schema[c].dataType, T.NumericType) and df.select(c).where(F.col(c).isNotNull()).distinct().limit(3).count() > 2 for c in (a, b)}
+    if number[a] and number[b]:
+        return spearman(df, a, b).select(F.lit("spearman").alias("measure"), F.round("rho", 4).alias("value"))
+    if number[a] or number[b]:
+        category, value = (b, a) if number[a] else (a, b)
+        return correlation_ratio(df, category, value).select(F.lit("correlation_ratio").alias("measure"), F.round("eta", 4).alias("value"))
+    return cramers_v(df, a, b).select(F.lit("cramers_v").alias("measure"), F.round("v", 4).alias("value"))

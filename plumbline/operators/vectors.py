@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import cosine, dot, norm
+from ..functions.columns import cosine, norm
+from ..functions.ordering import levels, ordered_sums
 
 
 def rank(df: DataFrame, query: Sequence[float], id_col: str, vector: str, k: int) -> DataFrame:
@@ -22,18 +25,97 @@ def unit(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0))))
 
 
+#: Rows of a block of queries, and of a block of the rows that they meet.
+BLOCK = 2048
+
+
+def _best_of_cell(a: pa.Table, b: pa.Table, k: int, metric: str) -> pa.RecordBatch:
+    """(id, neighbour, score) of the k nearest rows of b to each of a. One matrix product finds who can be among them, and only their scores are taken exactly, each in the same order of sums, so equal vectors tie."""
+    ids, others = a.column("id").combine_chunks(), b.column("id").combine_chunks()
+    code = np.unique(np.concatenate([ids.to_numpy(zero_copy_only=False), others.to_numpy(zero_copy_only=False)]), return_inverse=True)[1]
+    own, other = code[: len(ids)], code[len(ids) :]
+    matrix = lambda t: np.array(t.column("v").to_pylist(), np.float64).reshape(t.num_rows, -1)
+    x, y = matrix(a), matrix(b)
+    if x.shape[1] != y.shape[1]:
+        raise ValueError("vectors of different length")
+    about = x @ y.T
+    if metric != "cosine":
+        about = -((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * about)
+    about[own[:, None] == other[None]] = -np.inf
+    if k < y.shape[0]:
+        least = np.partition(about, y.shape[0] - k, axis=1)[:, y.shape[0] - k]
+        room = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)) + (x * x).sum(axis=1))
+        i, j = np.nonzero((about >= (least - room)[:, None]) & np.isfinite(about))
+    else:
+        i, j = np.nonzero(np.isfinite(about))
+    score = np.einsum("ij,ij->i", x[i], y[j]) if metric == "cosine" else -np.sqrt(np.einsum("ij,ij->i", x[i] - y[j], x[i] - y[j]))
+    order = np.lexsort((other[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    begin = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+    place = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
+    i, j, score = i[place < k], j[place < k], score[place < k]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), others.take(pa.array(j)), pa.array(score)], names=["id", "neighbour", "score"])
+
+
+def _cells(of_cell: Callable[[pa.Table, pa.Table], pa.RecordBatch]):
+    """Rows (i, j, side, ...) sorted by cell (i, j); a cell is held whole, and has two blocks, of which of_cell makes rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
+            begin = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            for lo, hi in zip(begin, np.append(begin[1:], len(i)), strict=True):
+                cell = t.slice(lo, hi - lo)
+                side = cell.column("side").to_numpy()
+                a, b = (cell.take(pa.array(np.flatnonzero(side == s))) for s in (0, 1))
+                if a.num_rows and b.num_rows:
+                    yield of_cell(a, b)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(x.num_rows for x in held) < 4 * BLOCK:
+                continue
+            t = pa.Table.from_batches(held)
+            i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
+            whole = np.flatnonzero((i != i[-1]) | (j != j[-1]))
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            held = t.slice(cut).to_batches()
+            if cut:
+                yield from done(t.slice(0, cut))
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return run
+
+
+def _blocked(q: DataFrame, b: DataFrame, n: int, m: int, of_cell, schema: str) -> DataFrame:
+    """Rows that of_cell makes of every pair of a block of q and one of b (columns id, ...), n and m blocks by the hash of the id."""
+    block = lambda size: F.pmod(F.xxhash64("id"), F.lit(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    both = q.select(block(n).alias("i"), every(m).alias("j"), F.lit(0).alias("side"), *q.columns).unionByName(b.select(every(n).alias("i"), block(m).alias("j"), F.lit(1).alias("side"), *b.columns))
+    # the number of tasks is given, as AQE would merge what is much work in few bytes
+    tasks = min(n * m, 8 * int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return both.repartition(tasks, "i", "j").sortWithinPartitions("i", "j").mapInArrow(_cells(of_cell), schema)
+
+
 def neighbours(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:
-    """(id, neighbour, score, rank): the k nearest rows of base to every query, itself left out; ties by id. Exact: every pair is compared, in Spark.
+    """(id, neighbour, score, rank): the k nearest rows of base to every query, itself left out; ties by id. Exact: a query set against all rows, in blocks.
 
-    Rows of queries are kept whole within a task: vectors are brought to unit length once, so that a pair costs one product."""
-    q, b = queries, base
+    Both sides are cut into blocks of about BLOCK rows by the hash of the id; each pair of blocks is a cell, and one matrix product compares it. Only the k best of a row leave a cell. Work is queries times rows; a row is
+    shuffled once for each block of the other side. Vectors are brought to unit length first (cosine). Rows without an id or a vector take no part."""
+    q, b = (d.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()) for d in (queries, base))
+    n, m = (max(1, -(-d.count() // BLOCK)) for d in (q, b))
     if metric == "cosine":
         q, b = unit(q, vector), unit(b, vector)
-    x, y = q.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")), b.select(F.col(id_col).alias("neighbour"), F.col(vector).alias("_w"))
-    score = dot("_v", "_w") if metric == "cosine" else -F.sqrt(F.aggregate(F.zip_with("_v", "_w", lambda p, r: (p.cast("double") - r) * (p.cast("double") - r)), F.lit(0.0), lambda s, v: s + v))
-    pairs = x.join(y, F.col("id") != F.col("neighbour")).select("id", "neighbour", score.alias("score"))
+    kind = base.schema[id_col].dataType.simpleString()
+    v = F.col(vector).cast("array<double>").alias("v")
+    best = _blocked(q.select(F.col(id_col).alias("id"), v), b.select(F.col(id_col).alias("id"), v), n, m, lambda x, y: _best_of_cell(x, y, k, metric), f"id {kind}, neighbour {kind}, score double")
     w = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def near_pairs(df: DataFrame, id_col: str, vector: str, distance: float = 0.05, k: int = 3) -> DataFrame:
@@ -96,3 +178,67 @@ def pooled(texts: DataFrame, vectors: DataFrame, id_col: str, token_col: str, di
     cell = at.groupBy(id_col, "_d").agg(F.avg(F.col("_x").cast("double")).alias("m"))
     out = cell.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("_d", "m")))).alias("v"))
     return out.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("v", i), F.lit(0.0))).alias("vector"), (F.size("v") == 0).alias("all_oov"))
+
+
+def scaled(df: DataFrame, vector: str) -> DataFrame:
+    """df with vector standardised by dimension (population deviation; a constant dimension is only centred)."""
+    dims = df.select(F.posexplode(vector).alias("d", "x")).groupBy("d").agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_pop(F.col("x").cast("double")).alias("s"))
+    state = dims.agg(F.array_sort(F.collect_list(F.struct("d", "m", F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0)).alias("s")))).alias("_state"))
+    return df.crossJoin(state).withColumn(vector, F.zip_with(vector, "_state", lambda x, t: (x.cast("double") - t["m"]) / t["s"])).drop("_state")
+
+
+def kth_distances(df: DataFrame, id_col: str, vector: str, k: int = 5, scale: bool = True) -> DataFrame:
+    """(id, distance): Euclidean distance of the k-th nearest other row."""
+    x = scaled(df, vector) if scale else df
+    return neighbours(x, x, id_col, vector, k, "euclidean").where(F.col("rank") == k).select("id", (-F.col("score")).alias("distance"))
+
+
+def nn_distance_summary(df: DataFrame, id_col: str, vector: str, k: int = 5) -> DataFrame:
+    """One row (k, mean_kth_nn, cv_kth_nn) over standardised vectors: where all rows are about equally far from their k-th neighbour, distances tell little."""
+    d = kth_distances(df, id_col, vector, k)
+    return d.agg(F.lit(k).alias("k"), F.round(F.avg("distance"), 4).alias("mean_kth_nn"), F.round(F.coalesce(F.try_divide(F.stddev_pop("distance"), F.avg("distance")), F.lit(0.0)), 4).alias("cv_kth_nn"))
+
+
+def k_distance(df: DataFrame, id_col: str, vector: str, k: int = 5) -> DataFrame:
+    """One row (k, n, least, greatest, eps_candidate): the k-distance where the sorted curve is farthest from its chord, which is where density-based clustering may cut."""
+    s = ordered_sums(levels(kth_distances(df, id_col, vector, k), F.col("distance")))
+    ends = s.agg(F.min("x").alias("a"), F.max("x").alias("z"))
+    # of equal distances, which lie side by side, the first and the last can be farthest
+    at = lambda r: F.abs((F.col("x") - F.col("a")) / (F.col("z") - F.col("a") + 1e-12) - r / F.nullif(F.col("n_all") - 1, F.lit(0)))
+    first, last = at(F.col("n_before")), at(F.col("n_before") + F.col("n") - 1)
+    return s.crossJoin(ends).agg(F.lit(k).alias("k"), F.max("n_all").alias("n"), F.max("a").alias("least"), F.max("z").alias("greatest"), F.round(F.min_by("x", F.struct(-F.round(F.greatest(first, last), 12), F.col("x"))), 4).alias("eps_candidate"))
+
+
+def _distance_sums(a: pa.Table, b: pa.Table) -> pa.RecordBatch:
+    """(id, own, label, total, n): of each row of a the distances to the rows of b, summed by their label."""
+    matrix = lambda t: np.array(t.column("v").to_pylist(), np.float64).reshape(t.num_rows, -1)
+    x, y = matrix(a), matrix(b)
+    label = b.column("label").combine_chunks().dictionary_encode()
+    which, names = np.asarray(label.indices), label.dictionary
+    total = np.zeros((len(x), len(names)))
+    for lo in range(0, len(x), 64):
+        part = x[lo : lo + 64]
+        d = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * part @ y.T, 0))
+        for c in range(len(names)):
+            total[lo : lo + 64, c] = d[:, which == c].sum(axis=1)
+    rows, cols = np.divmod(np.arange(total.size), len(names))
+    n = np.bincount(which, minlength=len(names))
+    return pa.RecordBatch.from_arrays([a.column("id").combine_chunks().take(pa.array(rows)), a.column("label").combine_chunks().take(pa.array(rows)), names.take(pa.array(cols)), pa.array(total.reshape(-1)), pa.array(n[cols])], names=["id", "own", "label", "total", "n"])
+
+
+def silhouettes(df: DataFrame, id_col: str, vector: str, label: str, noise: int = -1) -> DataFrame:
+    """(id, label, silhouette): exact, every row against all rows, in blocks; only sums by row and cluster leave a block. Rows of the noise cluster are left out; a cluster of one has 0."""
+    x = df.where(F.col(label).isNotNull() & (F.col(label) != noise)).select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    kinds = [x.schema[c].dataType.simpleString() for c in ("id", "label")]
+    n = max(1, -(-x.count() // BLOCK))
+    s = _blocked(x, x, n, n, _distance_sums, f"id {kinds[0]}, own {kinds[1]}, label {kinds[1]}, total double, n long").groupBy("id", "own", "label").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
+    own = F.col("own") == F.col("label")
+    each = s.groupBy("id", "own").agg(F.max(F.when(own & (F.col("n") > 1), F.col("t") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("t") / F.col("n"))).alias("b"))
+    return each.select("id", F.col("own").alias("label"), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+
+
+def silhouette_profile(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
+    """(label, size, mean_sil, min_sil, frac_negative, weak); weak: below the mean of all rows with over a tenth of its rows negative."""
+    s = silhouettes(df, id_col, vector, label)
+    p = s.groupBy("label").agg(F.count("*").alias("size"), F.avg("silhouette").alias("m"), F.min("silhouette").alias("least"), F.avg((F.col("silhouette") < 0).cast("int")).alias("f"))
+    return p.crossJoin(s.agg(F.avg("silhouette").alias("all"))).select("label", "size", F.round("m", 4).alias("mean_sil"), F.round("least", 4).alias("min_sil"), F.round("f", 4).alias("frac_negative"), ((F.col("m") < F.col("all")) & (F.col("f") > 0.1)).alias("weak"))

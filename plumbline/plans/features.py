@@ -41,7 +41,7 @@ def normal_cdf_features(spark, sf_dir):
 _LIST = "'(' || CASE WHEN p_size % 2 = 0 THEN 'A; b' ELSE ' c | A ' END || CASE WHEN p_size % 5 = 0 THEN ',D)' ELSE ')' END"
 
 
-@query(f"WITH s AS (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(trim({_LIST}, '()'), '[;,|]'), lambda x: lower(trim(x))), lambda x: x <> '') AS i FROM part) SELECT p_partkey, CAST(list_contains(i, 'a') AS INTEGER) AS cat_a, CAST(list_contains(i, 'b') AS INTEGER) AS cat_b, CAST(len(i) AS INTEGER) AS cat__count, CAST(len(list_filter(i, lambda x: x NOT IN ('a', 'b'))) AS INTEGER) AS cat__unknown FROM s")
+@query(f"WITH s AS (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(trim({_LIST}, '()'), '[;,|]'), lambda x: lower(trim(x))), lambda x: x <> '') AS i FROM part) SELECT p_partkey, CAST(list_contains(i, 'a') AS INTEGER) AS cat__a, CAST(list_contains(i, 'b') AS INTEGER) AS cat__b, CAST(len(i) AS INTEGER) AS cat__count, CAST(len(list_filter(i, lambda x: x NOT IN ('a', 'b'))) > 0 AS INTEGER) AS cat__unknown FROM s")
 def multi_hot(spark, sf_dir):
     s = F.col("p_size")
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("("), F.when(s % 2 == 0, "A; b").otherwise(" c | A "), F.when(s % 5 == 0, ",D)").otherwise(")")).alias("l"))
@@ -119,8 +119,12 @@ _SWEEP = f"""WITH d AS ({_Y}), t AS (SELECT DISTINCT s AS threshold FROM d UNION
 SELECT threshold, CAST(coalesce(tp, 0) AS BIGINT) AS tp, fp, CAST(p - coalesce(tp, 0) AS BIGINT) AS fn, CAST(n - fp AS BIGINT) AS tn, coalesce(tp, 0) / p AS tpr, fp / n AS fpr, tp / nullif(tp + fp, 0) AS precision, coalesce(tp, 0) / p - fp / n AS youden, (coalesce(tp, 0) / p + 1 - fp / n) / 2 AS balanced FROM w)"""
 
 
+def _scored(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), F.floor(F.col("o_totalprice") / 10000).cast("double").alias("s"))
+
+
 def _sweep(spark, sf_dir):
-    return D.sweep(table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), F.floor(F.col("o_totalprice") / 10000).cast("double").alias("s")), "y", "s")
+    return D.sweep(_scored(spark, sf_dir), "y", "s")
 
 
 @query(_SWEEP + " SELECT * FROM sw")
@@ -136,10 +140,14 @@ def threshold_picks(spark, sf_dir):
 
 @query(_SWEEP + " SELECT sum((fpr - px) * (tpr + py) / 2) AS auc FROM (SELECT fpr, tpr, lag(fpr, 1, 0) OVER w AS px, lag(tpr, 1, 0) OVER w AS py FROM sw WINDOW w AS (ORDER BY threshold DESC))")
 def auc(spark, sf_dir):
-    return D.auc(_sweep(spark, sf_dir))
+    return D.auc(_scored(spark, sf_dir), "y", "s")
 
 
-@query()
+@query("""
+WITH s AS (SELECT o_totalprice AS s, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS p, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT s, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS a, sum(p) OVER () AS pa, sum(n) OVER () AS na FROM s WINDOW w AS (ORDER BY s DESC)),
+r AS (SELECT max(pa) / max(na) AS prevalence, arg_max(tp / a, s) FILTER (tp >= 0.5 * pa) AS h, arg_max(tp / a, s) FILTER (tp >= 0.8 * pa) AS e, sum(p / pa * tp / a) AS average_precision, sum((n - p) * (tp - p / 2.0)) / (max(pa) * max(na - pa)) AS auc FROM c)
+SELECT prevalence, h AS precision_at_50, e AS precision_at_80, average_precision, auc, 1 / h AS alerts_per_hit_at_50, 1 / e AS alerts_per_hit_at_80 FROM r
+""")
 def prevalence_report(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return D.prevalence_report(o.select((F.col("o_orderstatus") == "F").cast("int").alias("y"), "o_totalprice"), "y", "o_totalprice")
@@ -160,7 +168,7 @@ def fleiss_kappa(spark, sf_dir):
     return D.fleiss(r, "item", "c")
 
 
-@query("SELECT s_suppkey, (s_acctbal - s_nationkey * 300) / abs(s_acctbal) AS gap, CASE WHEN (s_acctbal - s_nationkey * 300) / abs(s_acctbal) < 0.15 THEN 'fine' WHEN (s_acctbal - s_nationkey * 300) / abs(s_acctbal) < 0.2 THEN 'watch' WHEN (s_acctbal - s_nationkey * 300) / abs(s_acctbal) < 0.3 THEN 'overfit' ELSE 'severe' END AS verdict FROM supplier")
+@query("SELECT s_suppkey, (s_acctbal - s_nationkey * 300) / abs(s_acctbal) AS gap, CASE WHEN (s_acctbal - s_nationkey * 300) / abs(s_acctbal) < 0 THEN 'anomaly' WHEN (s_acctbal - s_nationkey * 300) / abs(s_acctbal) < 0.15 THEN 'fine' WHEN (s_acctbal - s_nationkey * 300) / abs(s_acctbal) < 0.2 THEN 'watch' WHEN (s_acctbal - s_nationkey * 300) / abs(s_acctbal) < 0.3 THEN 'overfit' ELSE 'severe' END AS verdict FROM supplier")
 def generalisation_gap(spark, sf_dir):
     return D.generalisation_gap(table(spark, sf_dir, "supplier").withColumn("t", F.col("s_nationkey") * 300), "s_acctbal", "t").select("s_suppkey", "gap", "verdict")
 
@@ -169,3 +177,18 @@ def generalisation_gap(spark, sf_dir):
 def beta_posterior(spark, sf_dir):
     g = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.sum("quality").alias("k"), F.count("*").alias("n"))
     return D.beta_posterior(g, "k", "n").select("source", "posterior_mean", "posterior_sd")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity % 7 = 0 AS INTEGER) AS tax_isna, CAST(l_quantity % 5 = 0 OR l_quantity % 7 = 0 AS INTEGER) AS discount_isna FROM lineitem")
+def missing_indicator(spark, sf_dir):
+    from .quality import holes
+
+    return X.missing_indicator(holes(spark, sf_dir), ["tax", "discount"]).select("l_orderkey", "l_linenumber", "l_partkey", "tax_isna", "discount_isna")
+
+
+@query("SELECT p_name AS feature, max(DATE '2020-01-01' + CAST(p_size AS INTEGER)) > DATE '2020-02-10' AS leaky FROM part GROUP BY 1")
+def availability_audit(spark, sf_dir):
+    import datetime
+
+    known = table(spark, sf_dir, "part").groupBy("p_name").agg(F.max(F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size").cast("int"))).alias("at"))
+    return X.availability_audit(known, "p_name", "at", datetime.date(2020, 2, 10))

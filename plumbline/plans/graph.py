@@ -9,8 +9,8 @@ from ..registry import query
 from ..sources.tables import table
 
 _E = "SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem"
-#: Chains of parts by size and price: many components.
-_CHAIN = "SELECT p_partkey AS src, p_partkey + p_size AS dst FROM part WHERE p_size < 12"
+#: Every part and the one that lies p_size further on.
+_CHAIN = "SELECT p_partkey AS src, p_partkey + p_size AS dst FROM part"
 
 
 def edges(spark, sf_dir):
@@ -18,7 +18,7 @@ def edges(spark, sf_dir):
 
 
 def chain(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_size < 12").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst"))
 
 
 @query(f"""
@@ -31,8 +31,10 @@ def graph_profile(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM ({_CHAIN}) UNION SELECT dst, src FROM ({_CHAIN})), w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a)
-SELECT node, min(seen) AS component FROM w GROUP BY 1
+WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM ({_CHAIN}) UNION SELECT dst, src FROM ({_CHAIN})), w(node, component) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM e
+  UNION (SELECT u.node, min(v.component) FROM recurring.w u JOIN e ON e.a = u.node JOIN w v ON v.node = e.b WHERE v.component < u.component GROUP BY u.node)
+) SELECT node, component FROM w
 """)
 def connected_components(spark, sf_dir):
     return G.components(chain(spark, sf_dir))
@@ -46,13 +48,25 @@ def triangles(spark, sf_dir):
     return G.triangles(edges(spark, sf_dir))
 
 
-@query("SELECT 0::BIGINT AS n_shared, true AS complete")
+_SIDE = "('0x' || substr(md5({c} || ':42'), 1, 8))::BIGINT % 1000000 < 200000"
+
+
+@query(f"SELECT src, dst, CASE WHEN {_SIDE.format(c='src')} AND {_SIDE.format(c='dst')} THEN 'test' WHEN NOT ({_SIDE.format(c='src')}) AND NOT ({_SIDE.format(c='dst')}) THEN 'train' ELSE 'dropped' END AS split FROM ({_E})")
 def inductive_split(spark, sf_dir):
-    s = G.split(edges(spark, sf_dir))
-    n = s.where("split <> 'dropped'").select(F.explode(F.array("src", "dst")).alias("node"), "split").groupBy("node").agg(F.count_distinct("split").alias("k"))
-    return n.agg(F.count_if(F.col("k") > 1).alias("n_shared"), (F.count("*") > 0).alias("complete"))
+    return G.split(edges(spark, sf_dir))
+
+
+@query(f"SELECT src, dst, CASE WHEN ('0x' || substr(md5(src || ':' || dst || ':42'), 1, 8))::BIGINT % 1000000 < 200000 THEN 'test' ELSE 'train' END AS split FROM ({_E})")
+def transductive_split(spark, sf_dir):
+    return G.split(edges(spark, sf_dir), mode="transductive")
+
+
+def looped(spark, sf_dir):
+    """Every part and, where p_size is up to 25, the next of its three (a ring), else the one that lies p_size further on: a graph with cycles."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(k.alias("src"), F.when(size > 25, k + size).otherwise(k - k % 3 + (k + 1) % 3).cast("long").alias("dst"))
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst WHERE false")
+@query()
 def cycle_edges(spark, sf_dir):
-    return G.cycles(chain(spark, sf_dir).where("src <> dst"))
+    return G.cycles(looped(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import MOJIBAKE, NUMERIC_SENTINELS, SENTINELS
 from ..operators import quality as Q
 from ..registry import query
 from ..sources.tables import table
@@ -21,21 +22,58 @@ def _each(columns, row: str, source: str) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {row.format(c=c)} FROM {source}" for c in columns)
 
 
-_ROLE = "CASE WHEN count({c}) = 0 THEN 'empty' WHEN count(DISTINCT {c}) <= 2 THEN 'binary' {more} END AS role"
-_PROFILE = "'{kind}' AS kind, count(*) - count({c}) AS n_missing, (count(*) - count({c})) * 1.0 / count(*) AS missing_rate, 0::BIGINT AS n_inf, count(DISTINCT {c}) AS n_unique, "
+_TRIM = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
+_SENTINELS = ", ".join(f"'{x}'" for x in SENTINELS)
+_NUMBERS = ", ".join(map(str, NUMERIC_SENTINELS))
+
+
+def _profile(c: str, kind: str, source: str) -> str:
+    """A column's row in SQL, by the same rules: kind is whole, number, text or time."""
+    n, u = f"count({c})", f"count(DISTINCT {c})"
+    ladder, issues = "", [f"CASE WHEN {u} = 1 THEN 'constant_value' END", f"CASE WHEN {u} > 1 AND {n} >= 10 AND max(t) * 1.0 / {n} >= 0.5 THEN 'dominant_value_share:' || CAST(round(max(t) * 1.0 / {n}, 3) AS VARCHAR) END"]
+    if kind in ("whole", "number"):
+        if kind == "whole":
+            ladder = f"WHEN {u} * 1.0 / {n} > 0.98 THEN 'identifier' WHEN min({c}) >= 0 AND {u} < 100 THEN 'count' "
+        ladder += "ELSE 'continuous'"
+        issues.append(f"CASE WHEN count(*) FILTER ({c} IN ({_NUMBERS})) > 0 THEN 'possible_numeric_sentinels:[' || array_to_string(list_sort(list_distinct(list(CAST({c} AS BIGINT)) FILTER ({c} IN ({_NUMBERS})))), ', ') || ']' END")
+        if kind == "whole":
+            issues.append(f"CASE WHEN {u} <= 15 AND min({c}) >= 0 THEN 'integer_may_be_category_code' END")
+    elif kind == "text":
+        share = lambda x: f"avg(CASE WHEN {x} THEN 1.0 WHEN {c} IS NOT NULL THEN 0 END)"
+        low = _TRIM.format(c=c)
+        ladder = f"WHEN {share(f'regexp_matches({c}, $a$[0-9]{{1,4}}[-/.:][0-9]$a$)')} > 0.5 AND {share(f'try_cast({c} AS TIMESTAMP) IS NOT NULL')} > 0.9 THEN 'datetime_text' WHEN greatest({share(f'regexp_matches({c}, $a$[;,|]$a$)')}, {share(f'regexp_matches({c}, $a$^\\s*[(\\[].*[)\\]]\\s*$$a$)')}) > 0.3 THEN 'multi_label_or_list' WHEN avg(length({c})) > 40 OR ({u} * 1.0 / {n} > 0.8 AND avg(length({c})) > 15) THEN 'free_text' ELSE 'nominal'"
+        issues += [
+            f"CASE WHEN count(*) FILTER ({low} IN ({_SENTINELS})) > 0 THEN 'string_sentinels' END",
+            f"CASE WHEN {share(f'try_cast(trim({c}) AS DOUBLE) IS NOT NULL')} > 0.95 THEN 'numeric_stored_as_text' END",
+            f"CASE WHEN count(DISTINCT {low}) < {u} THEN 'case_or_whitespace_variants' END",
+            f"CASE WHEN count(*) FILTER (regexp_matches({c}, '{'|'.join(MOJIBAKE)}')) > 0 THEN 'encoding_artifacts' END",
+            f"CASE WHEN count(*) FILTER (regexp_matches({c}, '[\\r\\n\\t]')) > 0 THEN 'embedded_newlines_or_tabs' END",
+        ]
+    role = f"CASE WHEN {n} = 0 THEN 'empty' " + ("ELSE 'datetime' END" if kind == "time" else f"WHEN {u} <= 2 THEN 'binary' {ladder} END")
+    found = f"CASE WHEN {n} = 0 THEN 'all_missing' ELSE concat_ws(',', {', '.join(issues)}) END"
+    return f"SELECT '{c}' AS \"column\", {role} AS role, count(*) - {n} AS n_missing, round((count(*) - {n}) * 1.0 / count(*), 4) AS missing_rate, 0::BIGINT AS n_inf, {u} AS n_unique, {found} AS issues FROM (SELECT *, count(*) OVER (PARTITION BY {c}) * CAST({c} IS NOT NULL AS INTEGER) AS t FROM ({source}))"
+
+
+#: Columns with what an audit should find, made from the customers.
+ODD = """SELECT 'x' AS c, CASE WHEN c_custkey % 9 = 0 THEN ' N/A' ELSE c_name END AS s, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS v, CAST(c_acctbal AS VARCHAR) AS n, CASE WHEN c_custkey % 4 = 0 THEN c_custkey ELSE -1 END AS d,
+CASE WHEN c_custkey % 3 = 0 THEN '(a, b)' WHEN c_custkey % 3 = 1 THEN 'b;c' ELSE 'd' END AS l, CAST(DATE '2020-01-01' + CAST(c_custkey % 400 AS INTEGER) AS VARCHAR) AS w, CASE WHEN c_custkey % 50 = 0 THEN 'cafÃ© no ' || c_custkey ELSE 'a longer line of words about' || chr(10) || c_custkey END AS f, c_custkey % 7 AS k, CASE WHEN c_custkey % 5 > 0 THEN c_acctbal ELSE 9999 END AS b FROM customer"""
+_ODD = {"c": "text", "s": "text", "v": "text", "n": "text", "d": "whole", "l": "text", "w": "text", "f": "text", "k": "whole", "b": "number"}
+
+
+def odd(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.lit("x").alias("c"), F.when(k % 9 == 0, " N/A").otherwise(F.col("c_name")).alias("s"), F.when(k % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("v"), F.col("c_acctbal").cast("string").alias("n"), F.when(k % 4 == 0, k).otherwise(-1).alias("d"),
+        F.when(k % 3 == 0, "(a, b)").when(k % 3 == 1, "b;c").otherwise("d").alias("l"), F.date_add(F.lit("2020-01-01").cast("date"), (k % 400).cast("int")).cast("string").alias("w"), F.when(k % 50 == 0, F.concat(F.lit("cafÃ© no "), k.cast("string"))).otherwise(F.concat(F.lit("a longer line of words about\n"), k.cast("string"))).alias("f"), (k % 7).alias("k"), F.when(k % 5 > 0, F.col("c_acctbal")).otherwise(9999.0).alias("b"),
+    )
 
 
-def _profile_sql() -> str:
-    whole = "WHEN count(DISTINCT {c}) * 1.0 / count({c}) > 0.98 THEN 'identifier' WHEN min({c}) >= 0 AND count(DISTINCT {c}) < 100 THEN 'count' ELSE 'continuous'"
-    parts = []
-    for c, kind, more in (("l_orderkey", "bigint", whole), ("l_linenumber", "int", whole), ("tax", "double", "ELSE 'continuous'"), ("l_returnflag", "string", "WHEN count(DISTINCT {c}) * 1.0 / count({c}) > 0.98 THEN 'identifier' ELSE 'categorical'")):
-        parts.append(f"SELECT '{c}' AS \"column\", " + (_PROFILE + _ROLE.replace("{more}", more)).format(c=c, kind=kind) + f" FROM ({HOLES})")
-    return " UNION ALL ".join(parts) + " UNION ALL SELECT 'l_shipdate', 'timestamp_ntz', count(*) - count(l_shipdate), (count(*) - count(l_shipdate)) * 1.0 / count(*), 0, count(DISTINCT l_shipdate), 'datetime' FROM lineitem"
+_KINDS = {"l_orderkey": "whole", "l_linenumber": "whole", "tax": "number", "l_returnflag": "text", "l_shipdate": "time"}
 
 
-@query(_profile_sql())
+@query(" UNION ALL ".join([_profile(c, k, HOLES) for c, k in _KINDS.items()] + [_profile(c, k, ODD) for c, k in _ODD.items()]))
 def profile_schema(spark, sf_dir):
-    return Q.profile_schema(holes(spark, sf_dir), ["l_orderkey", "l_linenumber", "tax", "l_returnflag", "l_shipdate"])
+    return Q.profile_schema(holes(spark, sf_dir), list(_KINDS)).unionByName(Q.profile_schema(odd(spark, sf_dir))).drop("dtype", "example")
 
 
 @query(_each(["tax", "discount", "l_quantity"], "avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END) AS missing_rate", f"({HOLES})"))
@@ -106,11 +144,9 @@ def categorical_summary(spark, sf_dir):
     return Q.categorical_summary(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_name"], 0.05)
 
 
-@query("""SELECT 'c' AS "column", 'constant_value' AS issue UNION ALL SELECT 's', 'string_sentinels' UNION ALL SELECT 'v', 'case_or_space_variants' UNION ALL SELECT 'n', 'numeric_stored_as_text' UNION ALL SELECT 'd', 'dominant_value_share'""")
+@query('SELECT "column", unnest(string_split(issues, \',\')) AS issue FROM (' + " UNION ALL ".join(_profile(c, k, ODD) for c, k in _ODD.items()) + ") WHERE issues <> ''")
 def detect_issues(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 400 OR true")
-    k = F.col("c_custkey")
-    return Q.detect_issues(c.select(F.lit("x").alias("c"), F.when(k % 9 == 0, "N/A").otherwise(F.col("c_name")).alias("s"), F.when(k % 9 == 0, F.concat(F.lit(" "), F.lower("c_name"))).otherwise(F.concat(F.lit("Z"), (k - k % 9 + 9).cast("string"), F.lit("c"), F.col("c_name"))).alias("w"), F.when(k % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("v"), F.col("c_acctbal").cast("string").alias("n"), F.when(k % 4 == 0, F.col("c_custkey")).otherwise(-1).alias("d")))
+    return Q.detect_issues(odd(spark, sf_dir))
 
 
 _LEVELS = "SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS l FROM part"
@@ -139,17 +175,17 @@ def duplicate_report(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT source, quality FROM documents JOIN labels USING (doc_id)), w AS (SELECT avg(quality) AS p FROM d), g AS (SELECT source, count(*) AS n, avg(quality) AS rate FROM d GROUP BY 1)
-SELECT source, n, rate, greatest(0, p - 1.959963984540054 * sqrt(p * (1 - p) / n)) AS low, least(1, p + 1.959963984540054 * sqrt(p * (1 - p) / n)) AS high, n >= 30 AND (rate < greatest(0, p - 1.959963984540054 * sqrt(p * (1 - p) / n)) OR rate > least(1, p + 1.959963984540054 * sqrt(p * (1 - p) / n))) AS outside_funnel, n < 30 AS small_group FROM g, w
+WITH d AS (SELECT source, quality FROM documents JOIN labels USING (doc_id)), w AS (SELECT avg(quality) AS p FROM d), g AS (SELECT source, count(*) AS n, sum(quality) AS s, avg(quality) AS rate, p, 1.959963984540054 * sqrt(p * (1 - p) / count(*)) AS h FROM d, w GROUP BY source, p)
+SELECT source, n, CAST(s AS BIGINT) AS positives, round(rate, 4) AS rate, round(p, 4) AS overall_rate, round(greatest(0, p - h), 4) AS funnel_low, round(least(1, p + h), 4) AS funnel_high, rate < p - h OR rate > p + h AS outside_funnel, n < 30 AS small_group FROM g
 """)
 def rate_funnel(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     return Q.rate_funnel(d, "quality", "source")
 
 
-@query("SELECT count(*) AS n, avg(q) AS mean, var_samp(q) AS variance, var_samp(q) / avg(q) AS variance_over_mean, avg(CASE WHEN q = 0 THEN 1.0 ELSE 0 END) AS zero_share, exp(-avg(q)) AS poisson_zero_share, CASE WHEN var_samp(q) / avg(q) > 1.25 THEN 'overdispersed' WHEN var_samp(q) / avg(q) < 0.75 THEN 'underdispersed' ELSE 'equidispersed' END AS verdict FROM (SELECT count(*) AS q FROM orders GROUP BY o_custkey)")
+@query("WITH a AS (SELECT count(*) AS n, avg(q) AS m, var_samp(q) AS v, avg(CASE WHEN q = 0 THEN 1.0 ELSE 0 END) AS z FROM (SELECT count(*) AS q FROM orders GROUP BY o_custkey)) SELECT n, round(m, 6) AS mean, round(v, 6) AS variance, round(v / m, 4) AS vmr, round((n - 1) * v / m, 4) AS dispersion_stat, round(z, 4) AS zero_rate_observed, round(exp(-m), 4) AS zero_rate_poisson, z > exp(-m) + 0.05 AS excess_zeros, CASE WHEN v / m > 1.25 THEN 'overdispersed' WHEN v / m < 0.75 THEN 'underdispersed' ELSE 'equidispersed' END AS verdict, CASE WHEN v / m > 1.25 THEN 'negative_binomial' WHEN v / m < 0.75 THEN 'binomial_like' ELSE 'poisson' END AS family FROM a")
 def count_dispersion(spark, sf_dir):
-    return Q.count_dispersion(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("q")), "q")
+    return Q.count_dispersion(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("q")), "q").drop("p_overdispersion", "p_underdispersion")
 
 
 @query("SELECT count(*) AS n_groups, regr_slope(ln(v), ln(m)) AS slope, regr_r2(ln(v), ln(m)) AS r2 FROM (SELECT avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY o_custkey HAVING count(o_totalprice) >= 5 AND avg(o_totalprice) > 0 AND var_samp(o_totalprice) > 0)")
@@ -162,21 +198,31 @@ def rate_homogeneity(spark, sf_dir):
     return Q.rate_homogeneity(table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("c")), "c")
 
 
-@query("WITH r AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS k, count(*) OVER () AS n FROM orders), m AS (SELECT avg(x) FILTER (k <= greatest(1, round_even(n * 0.1, 0))) AS low_mean, avg(x) FILTER (k > n - greatest(1, round_even(n * 0.1, 0))) AS high_mean FROM r) SELECT low_mean, high_mean, high_mean / low_mean AS ratio FROM m")
+@query("WITH r AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS k, count(*) OVER () AS n FROM orders), m AS (SELECT avg(x) FILTER (k <= greatest(1, round_even(n * 0.1, 0))) AS low_mean, avg(x) FILTER (k > n - greatest(1, round_even(n * 0.1, 0))) AS high_mean FROM r) SELECT low_mean, high_mean, CASE WHEN low_mean > 0 THEN high_mean / low_mean END AS ratio FROM m")
 def decile_ratio(spark, sf_dir):
     return Q.decile_ratio(table(spark, sf_dir, "orders"), "o_totalprice")
 
 
 @query("""
 WITH a AS (SELECT o_totalprice AS x FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_totalprice AS x FROM orders WHERE o_orderstatus = 'O'), q AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM a),
-c AS (SELECT x, 1 AS r FROM a UNION ALL SELECT x, 0 FROM b), n AS (SELECT sum(r) AS a, sum(1 - r) AS b FROM c), g AS (SELECT len(list_filter(e, lambda v: x > v)) AS bin, sum(r) AS p, sum(1 - r) AS q FROM c, q GROUP BY 1),
-s AS (SELECT greatest(p / a, 0.5 / a) AS p, greatest(q / b, 0.5 / b) AS q FROM g, n), psi AS (SELECT sum((p - q) * ln(p / q)) AS psi FROM s),
-st AS (SELECT x, sum(r / a - (1 - r) / b) AS d FROM c, n GROUP BY x), ks AS (SELECT max(abs(t)) AS ks FROM (SELECT sum(d) OVER (ORDER BY x) AS t FROM st))
-SELECT psi, ks, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'shifted' END AS verdict FROM psi, ks
+c AS (SELECT x, 1 AS r FROM a UNION ALL SELECT x, 0 FROM b), n AS (SELECT sum(r) AS a, sum(1 - r) AS b FROM c), g AS (SELECT len(list_filter(e, lambda v: x >= v)) AS bin, sum(r) AS p, sum(1 - r) AS q FROM c, q GROUP BY 1),
+s AS (SELECT greatest(p / a, 0.5 / a) AS p, greatest(q / b, 0.5 / b) AS q FROM g, n), psi AS (SELECT sum((p - q) * ln(p / q)) AS psi, count(*) AS k FROM s), z AS (SELECT (k - 1) * (1.0 / a + 1.0 / b) AS z FROM psi, n),
+st AS (SELECT x, sum(r / a - (1 - r) / b) AS d FROM c, n GROUP BY x), t AS (SELECT abs(sum(d) OVER (ORDER BY x)) AS t, lead(x) OVER (ORDER BY x) - x AS w FROM st), ks AS (SELECT max(t) AS ks, sum(t * w) AS w FROM t)
+SELECT CAST(a AS BIGINT) AS n_ref, CAST(b AS BIGINT) AS n_cur, 'numeric' AS kind, CAST(k AS INTEGER) AS n_bins, round(least(a, b) / k, 1) AS rows_per_bucket, round(psi, 6) AS psi, round(z, 6) AS psi_null_expected, round(psi / z, 3) AS psi_ratio, least(a, b) / k >= 50 AS psi_reliable, round(ks, 6) AS ks_stat, round(w, 6) AS wasserstein,
+ round(w / (SELECT stddev_pop(x) FROM a), 6) AS wasserstein_scaled, CASE WHEN psi >= 0.25 AND psi > 3 * z THEN 'major_shift' WHEN psi >= 0.1 AND psi > 2 * z THEN 'moderate_shift' ELSE 'stable' END AS verdict FROM psi, ks, n, z
 """)
 def population_shift(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return Q.population_shift(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_totalprice")
+    return Q.population_shift(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_totalprice").drop("ks_p", "chi2_p", "n_unseen", "unseen")
+
+
+@query("""
+WITH c AS (SELECT o_orderpriority AS c, count(*) FILTER (o_orderkey % 2 = 0) AS a, count(*) FILTER (o_orderkey % 2 = 1) AS b FROM orders GROUP BY 1), n AS (SELECT sum(a) AS a, sum(b) AS b, count(*) AS k FROM c), x AS (SELECT sum(pow(c.a - (c.a + c.b) * n.a / (n.a + n.b), 2) / ((c.a + c.b) * n.a / (n.a + n.b)) + pow(c.b - (c.a + c.b) * n.b / (n.a + n.b), 2) / ((c.a + c.b) * n.b / (n.a + n.b))) AS x, sum((c.a / n.a - c.b / n.b) * ln((c.a / n.a) / (c.b / n.b))) AS psi FROM c, n)
+SELECT 'categorical' AS kind, CAST(k AS INTEGER) AS n_bins, round(psi, 6) AS psi, round((k - 1) * (1.0 / a + 1.0 / b), 6) AS psi_null_expected, exp(-x / 2) * (1 + x / 2) AS chi2_p, 0::BIGINT AS n_unseen, CASE WHEN psi >= 0.25 THEN 'major_shift' WHEN psi >= 0.1 THEN 'moderate_shift' ELSE 'stable' END AS verdict FROM n, x
+""")
+def category_shift(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return Q.population_shift(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_orderpriority").select("kind", "n_bins", "psi", "psi_null_expected", "chi2_p", "n_unseen", "verdict")
 
 
 @query("SELECT count(*) AS n, count(*) AS n_times, 0::BIGINT AS n_ambiguous, 0::BIGINT AS n_epoch_seconds, 0::BIGINT AS n_epoch_millis, count(*) FILTER (year(o_orderdate) > 1997) AS n_implausible_year FROM orders")

@@ -131,7 +131,7 @@ def aligned_series(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT o_custkey AS node, o_orderpriority = '1-URGENT' AS c, count(*) AS n, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END) AS rate, avg(o_totalprice) AS cost FROM orders GROUP BY ALL), x AS (SELECT * FROM t WHERE c), y AS (SELECT * FROM t WHERE NOT c)
-SELECT coalesce(x.node, y.node) AS node, concat_ws(',', CASE WHEN x.n IS NULL OR y.n IS NULL THEN 'missing_data' END, CASE WHEN x.rate = 0 THEN 'always_failing' END, CASE WHEN x.rate > 0.2 AND x.rate < 0.8 THEN 'flaky' END, CASE WHEN x.rate = 1 AND y.rate = 1 THEN 'non_discriminating' END, CASE WHEN x.cost > 1.25 * y.cost THEN 'cost_regression' END) AS flags
+SELECT coalesce(x.node, y.node) AS node, concat_ws(',', CASE WHEN x.n IS NULL OR y.n IS NULL THEN 'missing_data' END, CASE WHEN x.rate = 1 AND y.rate = 1 THEN 'non_discriminating' END, CASE WHEN x.rate = 0 AND y.rate = 0 THEN 'always_failing' END, CASE WHEN (x.rate > 0.2 AND x.rate < 0.8) OR (y.rate > 0.2 AND y.rate < 0.8) THEN 'flaky' END, CASE WHEN x.cost > 1.25 * y.cost THEN 'cost_regression' END) AS flags
 FROM x FULL JOIN y ON x.node = y.node
 """)
 def run_flags(spark, sf_dir):
@@ -253,3 +253,105 @@ SELECT * FROM (VALUES ('late', (SELECT count(*) FILTER (NOT (l_shipdate < TIMEST
 """)
 def logical_constraints(spark, sf_dir):
     return R.rules_report(table(spark, sf_dir, "lineitem"), {"late": "l_shipdate < TIMESTAMP_NTZ '2000-01-01'", "discounted": "nullif(l_discount, 0) >= 0.02", "broken": "no_such_column > 1"}).drop("error")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey % 1000 = 1 THEN NULL ELSE o_custkey END FROM orders) UNION ALL SELECT -1")
+def not_in_with_null(spark, sf_dir):
+    """NOT IN over a list with a null keeps nothing: the row of -1 shows that the query ran."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 1000 != 1, F.col("o_custkey")).alias("k"))
+    out = spark.sql("SELECT c_custkey FROM {c} WHERE c_custkey NOT IN (SELECT k FROM {o})", c=c, o=o)
+    return out.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("c_custkey")))
+
+
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 480000)")
+def not_exists_correlated(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    return spark.sql("SELECT c_custkey FROM {c} c WHERE NOT EXISTS (SELECT 1 FROM {o} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 480000)", c=c, o=o)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+def above_own_average(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return spark.sql("SELECT o_orderkey, o_totalprice FROM {o} o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM {o} i WHERE i.o_custkey = o.o_custkey)", o=o)
+
+
+@query("SELECT n.n_nationkey, r.r_regionkey, n.n_regionkey IS NOT DISTINCT FROM r.r_regionkey AS same FROM nation n CROSS JOIN region r")
+def cross_pairs(spark, sf_dir):
+    """Of two tables of fixed size."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return n.crossJoin(r).select("n_nationkey", "r_regionkey", F.col("n_regionkey").eqNullSafe(F.col("r_regionkey")).alias("same"))
+
+
+@query("SELECT coalesce(c.k, s.k) AS nation, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON c.k = s.k")
+def full_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return c.join(s, "nation", "full_outer")
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def lookup_with_default(spark, sf_dir):
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(n, "c_custkey", "left").na.fill(0, ["n_orders"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def offset_page(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(50)
+
+
+@query("SELECT p_partkey FROM part ORDER BY md5(p_partkey || ':7'), p_partkey LIMIT 100")
+def random_rows(spark, sf_dir):
+    """A sample by the hash of the key: the same on every run."""
+    return table(spark, sf_dir, "part").select("p_partkey").orderBy(F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit(":7"))), "p_partkey").limit(100)
+
+
+_DOCUMENT = """'{"id":' || p_partkey || ',"brand":{"name":"' || p_brand || '"},"tags":["' || p_type || '","size ' || p_size || '"]}'"""
+
+
+@query(f"SELECT CAST(j->>'$.id' AS BIGINT) AS id, j->>'$.brand.name' AS brand, json_array_length(j->'$.tags') AS n_tags, j->>'$.tags[1]' AS second FROM (SELECT CAST({_DOCUMENT} AS JSON) AS j FROM part) WHERE list_contains(CAST(j->'$.tags' AS VARCHAR[]), 'size 7') OR j->>'$.brand.name' = 'Brand#12'")
+def nested_find(spark, sf_dir):
+    """Documents by a nested field or a member of an array."""
+    text = F.concat(F.lit('{"id":'), F.col("p_partkey").cast("string"), F.lit(',"brand":{"name":"'), "p_brand", F.lit('"},"tags":["'), "p_type", F.lit('","size '), F.col("p_size").cast("string"), F.lit('"]}'))
+    j = table(spark, sf_dir, "part").select(F.from_json(text, "id long, brand struct<name: string>, tags array<string>").alias("j"))
+    return j.where(F.array_contains("j.tags", "size 7") | (F.col("j.brand.name") == "Brand#12")).select("j.id", F.col("j.brand.name").alias("brand"), F.size("j.tags").cast("long").alias("n_tags"), F.col("j.tags")[1].alias("second"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000000 THEN printf('%.1fM', o_totalprice / 1000000) WHEN o_totalprice >= 1000 THEN printf('%.1fk', o_totalprice / 1000) ELSE printf('%.0f', o_totalprice) END AS price, printf('%dm%02ds', o_orderkey // 60, o_orderkey % 60) AS duration FROM orders")
+def readable_numbers(spark, sf_dir):
+    p, k = F.col("o_totalprice"), F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(p >= 1e6, F.format_string("%.1fM", p / 1e6)).when(p >= 1000, F.format_string("%.1fk", p / 1000)).otherwise(F.format_string("%.0f", p)).alias("price"), F.format_string("%dm%02ds", F.floor(k / 60), k % 60).alias("duration"))
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (o_orderkey % 3 = 0) AS null_flag, count(*) FILTER (o_orderkey % 3 = 1 AND o_totalprice > 100000) AS both_true, count(*) FILTER (o_orderkey % 3 = 1 OR (o_orderkey % 3 <> 0 AND o_totalprice > 100000) OR o_totalprice > 100000) AS either_true FROM orders GROUP BY 1")
+def three_valued_logic(spark, sf_dir):
+    """A flag that is null, true or false: AND and OR with a null."""
+    f = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 3 == 1)
+    big = F.col("o_totalprice") > 100000
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(f.isNull()).alias("null_flag"), F.count_if(f & big).alias("both_true"), F.count_if(f | big).alias("either_true"))
+
+
+@query("SELECT config, count(*) AS n, avg(ok) AS rate FROM (SELECT coalesce(o_orderpriority, '') AS config, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END AS ok FROM orders) GROUP BY 1")
+def by_configuration(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("config")).agg(F.count("*").alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("rate"))
+
+
+@query("SELECT n_name, count(*) AS n, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def hinted_joins(spark, sf_dir):
+    """The join of two large tables by sorting, that with a table of fixed size by broadcast."""
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    met = o.select("o_custkey", "o_totalprice").join(c.select("c_custkey", "c_nationkey").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
+    return met.join(F.broadcast(n.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+
+
+@query("SELECT n_name, coalesce(string_agg(s_name, '|' ORDER BY s_name), '') AS suppliers FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1")
+def lookup_into_documents(spark, sf_dir):
+    """Each nation with the list of its suppliers, as a lookup stage embeds them."""
+    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_name")).alias("suppliers"))
+    return table(spark, sf_dir, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_name", F.coalesce(F.array_join("suppliers", "|"), F.lit("")).alias("suppliers"))
+
+
+@query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events")
+def row_counts(spark, sf_dir):
+    one = lambda t: table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n"))
+    return one("orders").unionByName(one("events"))

@@ -77,11 +77,11 @@ def fractional_difference(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT event_type, date_trunc('hour', ts) AS t, min(value) AS v FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL), s AS (SELECT event_type, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM e GROUP BY 1)
+WITH e AS (SELECT event_type, date_trunc('hour', ts) AS t, min(value) AS v FROM events GROUP BY ALL), s AS (SELECT event_type, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM e GROUP BY 1)
 SELECT s.event_type, s.t, last_value(e.v IGNORE NULLS) OVER (PARTITION BY s.event_type ORDER BY s.t) AS v FROM s LEFT JOIN e ON s.event_type = e.event_type AND s.t = e.t
 """)
 def regular_grid(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup")).groupBy("event_type", F.date_trunc("hour", "ts").alias("t")).agg(F.min("value").alias("v"))
+    e = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("t")).agg(F.min("value").alias("v"))
     return S.to_regular_grid(e, "t", "1 HOUR", ["v"], ["event_type"]).select("event_type", F.col("t").cast("timestamp_ntz").alias("t"), "v")
 
 
@@ -116,7 +116,46 @@ def half_split(spark, sf_dir):
     return S.half_split(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderdate", "o_orderkey"])
 
 
-@query("WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders) SELECT * FROM o WHERE NOT (t + 30 >= 2500 AND t < 2500) AND NOT (t BETWEEN 2500 AND 2600) AND NOT (t > 2600 AND t <= 2610)")
+@query("WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders) SELECT * FROM o WHERE NOT (t + 30 >= 2500 AND t < 2500) AND NOT (t > 2600 AND t <= 2630)")
 def purge_and_embargo(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("t"))
-    return S.purge_and_embargo(o, "t", 2500, 2600, 30, 10)
+    return S.purge_and_embargo(o, "t", 2500, 2600, 30)
+
+
+@query("WITH o AS (SELECT date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders), a AS (SELECT count(*) AS n, count(*) FILTER (t + 30 >= 2500 AND t < 2500) AS p, count(*) FILTER (t > 2600 AND t <= 2610) AS e FROM o) SELECT n AS n_train_before, p AS n_purged, e AS n_embargoed, n - p - e AS n_train_after, (p + e) / n AS fraction_dropped FROM a")
+def purge_report(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("t"))
+    return S.purge_report(o, "t", 2500, 2600, 30, 10)
+
+
+_MONTHS = "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS total FROM orders GROUP BY 1"
+
+
+def _months(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).cast("date").alias("month")).agg(F.sum("o_totalprice").alias("total"))
+
+
+@query(f"SELECT month, (total - lag(total, 12) OVER w) / lag(total, 12) OVER w AS total_pct12 FROM ({_MONTHS}) WINDOW w AS (ORDER BY month)")
+def year_over_year(spark, sf_dir):
+    return S.percent_change(_months(spark, sf_dir), "total", 12, ["month"]).select("month", "total_pct12")
+
+
+@query("WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT a.user_id, a.event_id, b.value AS value_reversed FROM r a JOIN r b ON a.user_id = b.user_id AND b.r = a.n + 1 - a.r")
+def reversed_column(spark, sf_dir):
+    return S.reversed_column(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", ["event_id"], ["user_id"]).select("user_id", "event_id", "value_reversed")
+
+
+@query("SELECT sum((p_size % 5 + 1) / 5.0 * p_retailprice) / sum(p_retailprice) AS wrmsse FROM part")
+def weighted_errors(spark, sf_dir):
+    return S.weighted_errors(table(spark, sf_dir, "part").withColumn("e", (F.col("p_size") % 5 + 1) / 5), "e", "p_retailprice")
+
+
+@query(f"SELECT month, last_day(month) AS month_end, date_diff('day', month, last_day(month)) + 1 AS days, CAST(date_trunc('quarter', month) AS DATE) AS quarter, CAST(month + INTERVAL 3 MONTH AS DATE) AS three_on FROM ({_MONTHS})")
+def month_ends(spark, sf_dir):
+    m = F.col("month")
+    return _months(spark, sf_dir).select("month", F.last_day(m).alias("month_end"), (F.datediff(F.last_day(m), m) + 1).cast("long").alias("days"), F.trunc(m, "quarter").alias("quarter"), F.add_months(m, 3).alias("three_on"))
+
+
+@query("SELECT event_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS business_date FROM events")
+def business_dates(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts").cast("timestamp_ntz")).cast("date").alias("business_date"))

@@ -130,3 +130,28 @@ def mrmr(spark, sf_dir):
     names = ["l_quantity", "l_discount", "l_tax"]
     rel = S.correlation_matrix(items, [*names, "l_extendedprice"]).where("b = 'l_extendedprice'").select(F.col("a").alias("column"), F.abs("r").alias("score"))
     return M.mrmr(rel, S.correlation_matrix(items, names), 3)
+
+
+@query()
+def permutation_importance(spark, sf_dir):
+    return M.permutation_importance_oof(_labelled(spark, sf_dir), "doc_id", "quality", NAMES)
+
+
+@query()
+def null_target_importance(spark, sf_dir):
+    return M.null_target_importance(_labelled(spark, sf_dir), "doc_id", "quality", NAMES, 3)
+
+
+@query()
+def feature_elimination(spark, sf_dir):
+    return M.rfe_select(_labelled(spark, sf_dir), "quality", NAMES, 1)
+
+
+@query()
+def anomalous_clusters(spark, sf_dir):
+    return M.anomalous_clusters(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey", ["c_acctbal", "c_nationkey"])[0]
+
+
+@query()
+def intelligent_k_means(spark, sf_dir):
+    return M.ik_means(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey", ["c_acctbal", "c_nationkey"])

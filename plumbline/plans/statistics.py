@@ -55,18 +55,26 @@ def spearman(spark, sf_dir):
 @query(f"""
 WITH r AS (SELECT o_orderpriority AS g, {_ranks('o_totalprice')} AS r FROM orders), t AS (SELECT sum(pow(c, 3) - c) AS t FROM (SELECT count(*) AS c FROM orders GROUP BY o_totalprice)), g AS (SELECT sum(r) AS r, count(*) AS n FROM r GROUP BY g), n AS (SELECT sum(n) AS n FROM g),
 h AS (SELECT (12 / (any_value(n.n) * (any_value(n.n) + 1)) * sum(g.r * g.r / g.n) - 3 * (any_value(n.n) + 1)) / (1 - any_value(t) / (pow(any_value(n.n), 3) - any_value(n.n))) AS h FROM g, n, t)
-SELECT 5 AS groups, CAST(n AS BIGINT) AS n, NULL::DOUBLE AS cohens_d, NULL::DOUBLE AS mann_whitney_p, h AS kruskal_h, h / (n - 1) AS epsilon_squared FROM h, n
+SELECT 'epsilon_sq_rank' AS metric, round((h - 4) / (n - 5), 4) AS value, exp(-h / 2) * (1 + h / 2) AS p_value, 5 AS groups, CAST(n AS BIGINT) AS n FROM h, n
 """)
 def compare_groups(spark, sf_dir):
     return S.compare_groups(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
 
 
+@query("""
+WITH g AS (SELECT l_linestatus AS g, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY 1), a AS (SELECT * FROM g WHERE g = 'F'), b AS (SELECT * FROM g WHERE g = 'O')
+SELECT 'cohens_d' AS metric, round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 4) AS value, 2 AS groups, a.n + b.n AS n FROM a, b
+""")
+def compare_two_groups(spark, sf_dir):
+    return S.compare_groups(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linestatus").drop("p_value")
+
+
 @query()
 def pairwise_differences(spark, sf_dir):
     return S.pairwise_differences(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
 
 
-_P = "SELECT p_partkey, (p_partkey * 37 % 1000 + 1) / 20000.0 AS p FROM part WHERE p_partkey < 200"
+_P = "SELECT p_partkey, (p_partkey * 37 % 1000 + 1) / 20000.0 AS p FROM part"
 
 
 @query(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS k FROM ({_P})) SELECT p_partkey, p, least(1, max((k - r + 1) * p) OVER (ORDER BY r)) AS adjusted FROM r")
@@ -80,7 +88,7 @@ def benjamini_hochberg(spark, sf_dir):
 
 
 def _pvalues(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", ((F.col("p_partkey") * 37 % 1000 + 1) / 20000.0).alias("p"))
+    return table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") * 37 % 1000 + 1) / 20000.0).alias("p"))
 
 
 #: p-values of every part, over the whole scale and with ties.
@@ -233,3 +241,82 @@ def bootstrap_mean(spark, sf_dir):
 def permutation_test(spark, sf_dir):
     o = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", (F.col("c_mktsegment") == "BUILDING").cast("int").alias("g"))
     return S.permutation_test(o, "c_custkey", "c_acctbal", "g", 200)
+
+
+_VERDICT = "CASE WHEN {d} < 1.1 THEN 'negligible' WHEN {d} < 1.5 THEN 'moderate' ELSE 'substantial' END"
+
+
+@query(f"WITH d AS (SELECT p_partkey, p_size AS h, greatest(1.0, 1 + (greatest(p_size, 1) - 1) * (2 * greatest(p_size, 1) - 1) / (3.0 * greatest(p_size, 1))) AS d FROM part) SELECT p_partkey, 1.0 / greatest(h, 1) AS uniqueness, d AS deff_overlap, 1000 / d AS n_eff, {_VERDICT.format(d='d')} AS verdict FROM d")
+def overlapping_label_deff(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("h"), F.lit(1000).alias("n"))
+    return S.overlapping_label_deff(p, "h", "n").drop("h", "n")
+
+
+@query(f"WITH d AS (SELECT p_partkey, greatest(1.0, 1 + (p_size - 1) * CAST(p_size % 11 AS DOUBLE) / 10 * least(1, p_size % 13 / 10.0)) AS d FROM part) SELECT p_partkey, d AS deff_pair, 1000 / d AS n_eff_pair, {_VERDICT.format(d='d')} AS verdict FROM d")
+def effective_n_for_association(spark, sf_dir):
+    s = F.col("p_size")
+    p = table(spark, sf_dir, "part").select("p_partkey", (s % 11 / 10).alias("x"), (s % 13 / 10).alias("y"), s.alias("m"), F.lit(1000).alias("n"))
+    return S.effective_n_for_association(p, "x", "y", "m", "n").drop("x", "y", "m", "n")
+
+
+@query(f"WITH w AS (SELECT count(*) * sum(l_quantity * l_quantity) / (sum(l_quantity) * sum(l_quantity)) AS w, count(*) AS n FROM lineitem) SELECT c AS \"column\", 1.0 AS deff_mean, w AS deff_weights, w AS deff_total, n / w AS n_eff_total, {_VERDICT.format(d='w')} AS verdict FROM w, (VALUES ('l_tax'), ('l_extendedprice')) t(c)")
+def design_effect_report(spark, sf_dir):
+    return S.design_effect_report(table(spark, sf_dir, "lineitem"), ["l_tax", "l_extendedprice"], weight="l_quantity")
+
+
+@query("SELECT avg(l_extendedprice) AS mean, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS weighted_mean, count(*) AS n FROM lineitem")
+def weighted_mean(spark, sf_dir):
+    return S.weighted_mean(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity")
+
+
+@query()
+def bootstrap_difference(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return S.bootstrap_diff_ci(o.select("o_orderkey", "o_totalprice", (F.col("o_orderstatus") == "F").alias("g")), "o_orderkey", "o_totalprice", "g", 200)
+
+
+@query("SELECT 'linear' AS method, quantile_cont(o_totalprice, 0.25) AS q_25, quantile_cont(o_totalprice, 0.5) AS q_50, quantile_cont(o_totalprice, 0.75) AS q_75 FROM orders UNION ALL SELECT 'inverted_cdf', quantile_disc(o_totalprice, 0.25), quantile_disc(o_totalprice, 0.5), quantile_disc(o_totalprice, 0.75) FROM orders")
+def quantile_conventions(spark, sf_dir):
+    return S.quantile_conventions(table(spark, sf_dir, "orders"), "o_totalprice").where("method IN ('linear', 'inverted_cdf')").drop("n_outliers")
+
+
+@query()
+def quantile_conventions_all(spark, sf_dir):
+    return S.quantile_conventions(table(spark, sf_dir, "events"), "value")
+
+
+@query(f"SELECT 'l_quantity' AS \"column\", true AS kept, NULL AS because_of UNION ALL SELECT 'l_extendedprice', CASE WHEN r >= 0.6 THEN false ELSE true END, CASE WHEN r >= 0.6 THEN 'l_quantity' END FROM (SELECT abs(corr(a, b)) AS r FROM (SELECT {_ranks('l_quantity')} AS a, {_ranks('l_extendedprice')} AS b FROM lineitem)) UNION ALL SELECT 'l_discount', true, NULL")
+def prune_redundant(spark, sf_dir):
+    return S.prune_redundant(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], threshold=0.6)
+
+
+@query("SELECT 'exact_identity' AS verdict, count(*) AS n, 'l_quantity,l_tax' AS minimal_subset, 3.0 AS intercept, true AS looks_like_plain_sum FROM lineitem")
+def composite_target(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").withColumn("y", F.col("l_quantity") + F.col("l_tax") + 3)
+    return S.composite_target_probe(d, ["l_quantity", "l_tax", "l_discount"], "y").select("verdict", "n", F.array_join(F.array_sort("minimal_subset"), ",").alias("minimal_subset"), "intercept", "looks_like_plain_sum")
+
+
+@query(f"SELECT 'spearman' AS measure, round(corr(a, b), 4) AS value FROM (SELECT {_ranks('l_quantity')} AS a, {_ranks('l_extendedprice')} AS b FROM lineitem)")
+def association(spark, sf_dir):
+    return S.association(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query()
+def polyserial_correlation(spark, sf_dir):
+    return S.polyserial(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linenumber")
+
+
+@query("WITH a AS (SELECT corr(l_quantity, l_extendedprice) AS p, corr(l_quantity, l_tax) AS q, corr(l_extendedprice, l_tax) AS r, var_samp(l_quantity) + var_samp(l_extendedprice) + var_samp(l_tax) AS v, var_samp(l_quantity + l_extendedprice + l_tax) AS t, count(*) AS n FROM lineitem) SELECT n, 1.5 * (1 - v / t) AS alpha, round((p + q + r) / 3, 4) AS mean_inter_item_r, CAST((p < 0)::INTEGER + (q < 0)::INTEGER + (r < 0)::INTEGER AS INTEGER) AS n_negative_pairs, CASE WHEN (p + q + r) / 3 < 0.1 OR 1.5 * (1 - v / t) < 0.3 THEN 'formative_or_broken_reflective_scale_suspected' ELSE 'consistent_with_reflective_indicators' END AS verdict FROM a")
+def indicator_direction(spark, sf_dir):
+    return S.indicator_direction(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"])
+
+
+@query()
+def tau_equivalence(spark, sf_dir):
+    return S.tau_equivalence(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax", "l_discount"])
+
+
+@query()
+def polychoric_matrix(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return S.polychoric_matrix(table(spark, sf_dir, "orders").select((k % 3).alias("a"), ((k + k % 3) % 4).alias("b"), F.length("o_orderpriority").alias("c")), ["a", "b", "c"])

@@ -58,3 +58,26 @@ def apply_changes(spark, sf_dir):
     # every change arrives, in any order, the ones that are applied already too
     done = E.apply_changes(state, e, ["user_id"], "event_id", F.col("event_type") == "logout")
     return done.where("NOT is_deleted").drop("is_deleted")
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def running_totals(spark, sf_dir):
+    """State by user, carried over batches; the last update of each user counts."""
+    out = E.collect_available(E.running_totals(_stream(spark, sf_dir), "user_id", "value"), _name("state"), "update")
+    return last_per_key(out, ["key"], ["batch"]).select(F.col("key").alias("user_id"), "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS greatest FROM events GROUP BY 1")
+def incremental_totals(spark, sf_dir):
+    """A materialised aggregate of the first half, brought up to date by that of the second."""
+    from ..sources.tables import merged_totals
+
+    e = table(spark, sf_dir, "events")
+    part = lambda d: d.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("greatest"))
+    return merged_totals(part(e.where("event_id % 2 = 0")), part(e.where("event_id % 2 = 1")), ["event_type"], ["n", "total"], greatest=["greatest"]).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT day, CAST(day - INTERVAL 12 DAY AS DATE) AS since FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)")
+def lookback_starts(spark, sf_dir):
+    d = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day")).distinct()
+    return d.select("day", E.lookback_start(F.col("day"), 2, 3, 7).alias("since"))

@@ -15,18 +15,19 @@ def _tok(table_: str, i: str, t: str = "text") -> str:
     return f"SELECT {i}, unnest(regexp_extract_all(lower({t}), '{_RE}')) AS token FROM {table_}"
 
 
-@query(f"SELECT row_number() OVER (ORDER BY n DESC, token) AS rank, token, n FROM (SELECT token, count(*) AS n FROM ({_tok('benchmark', 'item_id')}) GROUP BY 1 ORDER BY n DESC, token LIMIT 1000)")
+@query(f"SELECT row_number() OVER (ORDER BY n DESC, token) AS rank, token, n FROM (SELECT token, count(*) AS n FROM ({_tok('documents', 'doc_id')}) GROUP BY 1 ORDER BY n DESC, token LIMIT 1000)")
 def token_frequencies(spark, sf_dir):
-    return T.token_frequencies(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return T.token_frequencies(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"""
-WITH d AS (SELECT text AS t, regexp_extract_all(lower(text), '{_RE}') AS k, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM conversations), v AS (SELECT count(*) AS n FROM (SELECT unnest(k) AS token FROM d) GROUP BY token)
-SELECT count(*) AS n, count(*) FILTER (t IS NULL) AS n_null, count(*) FILTER (trim(t) = '') AS n_empty, count(*) FILTER (len(k) = 0 AND trim(t) <> '') AS n_without_tokens, count(t) - count(DISTINCT h) AS n_duplicates, median(length(t)) AS chars_median, quantile_cont(length(t), 0.95) AS chars_p95, median(len(k)) AS tokens_median, quantile_cont(len(k), 0.95) AS tokens_p95,
- (SELECT count(*) FROM v) AS vocabulary, (SELECT avg(CASE WHEN n = 1 THEN 1.0 ELSE 0 END) FROM v) AS once_share FROM d
+WITH r AS (SELECT text AS t, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents UNION ALL SELECT * FROM (VALUES (NULL, NULL), ('', ''), (' ' || chr(10), ''), ('?!', '?!'))), d AS (SELECT t, CASE WHEN h <> '' THEN t END AS v, CASE WHEN h <> '' THEN h END AS h, CASE WHEN h <> '' THEN regexp_extract_all(lower(t), '{_RE}') END AS k FROM r), v AS (SELECT token, count(*) AS n FROM (SELECT unnest(k) AS token FROM d) GROUP BY token), s AS (SELECT sum(n) AS n FROM v)
+SELECT count(*) AS n_docs, count(*) FILTER (t IS NULL) AS n_nan, count(*) FILTER (t IS NOT NULL AND v IS NULL) AS n_empty_string, count(*) FILTER (len(k) = 0) AS n_empty_after_tokenization, round(1 - count(DISTINCT h) * 1.0 / count(h), 4) AS duplicate_rate_normalized, median(length(v)) AS chars_median, quantile_cont(length(v), 0.95) AS chars_p95, median(len(k)) AS tokens_median, quantile_cont(len(k), 0.95) AS tokens_p95,
+ (SELECT count(*) FROM v) AS vocab_size, (SELECT round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0 END), 4) FROM v) AS hapax_share, (SELECT round(sum(n) / (SELECT n FROM s), 4) FROM (SELECT n FROM v ORDER BY n DESC LIMIT 10)) AS top10_token_share, (SELECT round(coalesce(sum(n) FILTER (NOT regexp_matches(token, '\\p{{L}}')), 0) / (SELECT n FROM s), 4) FROM v) AS non_alpha_token_share FROM d
 """)
 def text_summary(spark, sf_dir):
-    return T.text_summary(table(spark, sf_dir, "conversations"), "text")
+    odd = spark.createDataFrame([(None,), ("",), (" \n",), ("?!",)], "text string")
+    return T.text_summary(table(spark, sf_dir, "documents").select("text").unionByName(odd), "text")
 
 
 @query(f"""
@@ -45,11 +46,11 @@ def vocabulary_overlap(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark), s AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 2 - 1, 0) + 1, 8)) AS b FROM w WHERE len(w) > 0)
-SELECT item_id, CAST(b / 8 AS INTEGER) AS chunk_index, array_to_string(w[b + 1 : b + 10], ' ') AS content FROM s
+WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 20 - 1, 0) + 1, 100)) AS b FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST(b / 100 AS INTEGER) AS chunk_index, array_to_string(w[b + 1 : b + 120], ' ') AS content FROM s
 """)
 def chunks(spark, sf_dir):
-    return T.chunks(table(spark, sf_dir, "benchmark"), "item_id", "text", 10, 2)
+    return T.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("""

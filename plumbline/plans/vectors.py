@@ -29,9 +29,9 @@ def nearest_neighbours(spark, sf_dir):
     return V.neighbours(e, e, "vec_id", "embedding", 5).withColumn("score", F.round("score", 9))
 
 
-@query(f"SELECT least(id, neighbour) AS a, greatest(id, neighbour) AS b, round(min(1 - score), 9) AS distance FROM ({_NN}) WHERE rank <= 3 AND 1 - score <= 0.3 GROUP BY 1, 2")
+@query(f"SELECT least(id, neighbour) AS a, greatest(id, neighbour) AS b, round(min(1 - score), 9) AS distance FROM ({_NN}) WHERE rank <= 3 AND 1 - score <= 0.55 GROUP BY 1, 2")
 def near_vector_pairs(spark, sf_dir):
-    return V.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3).withColumn("distance", F.round("distance", 9))
+    return V.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.55).withColumn("distance", F.round("distance", 9))
 
 
 @query(f"""
@@ -94,3 +94,26 @@ def kmeans_clusters(spark, sf_dir):
 def principal_components(spark, sf_dir):
     x = _features(spark, sf_dir)
     return PCA(k=2, inputCol="features", outputCol="pc").fit(x).transform(x).select("vec_id", vector_to_array("pc").alias("pc"))
+
+
+_Z = "SELECT vec_id, label, list_transform(range(1, len(embedding) + 1), lambda i: (CAST(embedding[i] AS DOUBLE) - m[i]) / s[i]) AS v FROM embeddings, (SELECT list(m ORDER BY d) AS m, list(CASE WHEN s > 0 THEN s ELSE 1 END ORDER BY d) AS s FROM (SELECT d, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT unnest(range(0, len(embedding))) AS d, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY d))"
+_KTH = f"WITH z AS MATERIALIZED ({_Z}), p AS (SELECT a.vec_id AS id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v)) AS k FROM z a JOIN z b ON a.vec_id <> b.vec_id), t AS (SELECT id, d FROM p WHERE k = 5)"
+
+
+@query(f"{_KTH} SELECT 5 AS k, round(avg(d), 4) AS mean_kth_nn, round(stddev_pop(d) / avg(d), 4) AS cv_kth_nn FROM t")
+def nn_distance_summary(spark, sf_dir):
+    return V.nn_distance_summary(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query(f"{_KTH}, r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n, min(d) OVER () AS a, max(d) OVER () AS z FROM t) SELECT 5 AS k, max(n) AS n, round(max(a), 9) AS least, round(max(z), 9) AS greatest, round(arg_min(d, (-round(abs((d - a) / (z - a + 1e-12) - i * 1.0 / (n - 1)), 12), d)), 4) AS eps_candidate FROM r")
+def k_distance(spark, sf_dir):
+    return V.k_distance(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumns({c: F.round(c, 9) for c in ("least", "greatest")})
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS id, a.label AS own, b.label AS label, sum(list_distance(a.v, b.v)) AS t, count(*) AS n FROM e a JOIN e b ON true GROUP BY ALL), r AS (SELECT id, own, max(CASE WHEN own = label AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN own <> label THEN t / n END) AS b FROM s GROUP BY ALL),
+q AS (SELECT own AS label, coalesce((b - a) / greatest(a, b), 0) AS x FROM r), p AS (SELECT label, count(*) AS size, avg(x) AS m, min(x) AS least, avg(CASE WHEN x < 0 THEN 1.0 ELSE 0 END) AS f FROM q GROUP BY 1)
+SELECT label, size, round(m, 4) AS mean_sil, round(least, 4) AS min_sil, round(f, 4) AS frac_negative, m < (SELECT avg(x) FROM q) AND f > 0.1 AS weak FROM p
+""")
+def silhouette_profile(spark, sf_dir):
+    return V.silhouette_profile(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")

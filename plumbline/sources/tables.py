@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,11 +29,11 @@ def without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.FloatType | T.DoubleType)})
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, since: Column | None = None) -> DataFrame:
-    """Line-delimited JSON of a schema; broken lines (a torn last one, say) are left out, and only rows of `since` stay."""
+def read_jsonl(spark: SparkSession, path: str, schema: str, since: Column | None = None, rescued: str | None = None) -> DataFrame:
+    """Line-delimited JSON of a schema; broken lines (a torn last one, say) are left out, or kept with their text in a column of the name `rescued`, and only rows of `since` stay."""
     bad = "_corrupt_record"
     df = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    df = df.where(F.col(bad).isNull()).drop(bad)
+    df = df.withColumnRenamed(bad, rescued) if rescued else df.where(F.col(bad).isNull()).drop(bad)
     return df if since is None else df.where(since)
 
 
@@ -50,6 +51,12 @@ def read_corpus(spark: SparkSession, root: str, patterns: str = "*.{md,txt}") ->
     return df.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 
+def listing(spark: SparkSession, root: str, patterns: str = "*") -> DataFrame:
+    """(path, modified, bytes) of the files below root, without their content; order by modified for the newest first."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", patterns).load(root)
+    return df.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
 def front_matter(text: Column) -> Column:
     """The "key: value" lines between two lines of three dashes at the head of a text, as a map; an empty map where there are none."""
     head = F.regexp_extract(F.regexp_replace(text, "\r\n", "\n"), r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
@@ -77,6 +84,12 @@ def overwrite_window(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def merged_totals(old: DataFrame, new: DataFrame, keys: list[str], sums: list[str], least: list[str] = (), greatest: list[str] = ()) -> DataFrame:
+    """A materialised aggregate brought up to date by the aggregate of what is new: sums and counts add, extremes meet. The table itself isn't read again."""
+    both = old.unionByName(new)
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in greatest])
+
+
 def compacted(df: DataFrame, files: int, order: list[str]) -> DataFrame:
     """df in so many files, sorted within each, for readers that skip by statistics."""
     return df.repartitionByRange(files, *order).sortWithinPartitions(*order)
@@ -94,8 +107,36 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Tables that cut_lineage made and that nothing has deleted yet.
+_STEPS: dict[str, SparkSession] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: a lost executor costs nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: a lost executor costs nothing of it. What is still there when the driver's process ends is deleted then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    if not _STEPS:
+        atexit.register(_sweep)
+    _STEPS[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._plumbline_step = path
+    return back
+
+
+def drop_step(df: DataFrame) -> None:
+    """Deletes a table of cut_lineage that nothing reads any more."""
+    path = getattr(df, "_plumbline_step", None)
+    spark = _STEPS.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _sweep() -> None:
+    for path, spark in list(_STEPS.items()):
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone already
+            return

@@ -69,7 +69,32 @@ def collect_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
     at = f"{shared_dir(spark)}/{name}"
 
     def sink(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={k if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else k}")
 
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if mode == "update":
+        # the batch of each row tells which update is the last
+        return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch int").parquet(f"{at}/rows")
     return spark.read.schema(stream.schema).parquet(f"{at}/rows/batch=*")
+
+
+def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, total) of a stream, a state of two numbers for each key that batches carry on; each batch tells the keys that it has touched."""
+    kind = events.schema[key].dataType.simpleString()
+
+    def step(k, frames, state):
+        import pandas as pd
+
+        n, total = state.get if state.exists else (0, 0.0)
+        for f in frames:
+            n, total = n + len(f), total + float(f["v"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({"key": [k[0]], "n": [n], "total": [total]})
+
+    slim = events.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v"))
+    return slim.groupBy("key").applyInPandasWithState(step, f"key {kind}, n long, total double", "n long, total double", "update", "NoTimeout")
+
+
+def lookback_start(now: Column, delay_days: int, lifecycle_days: int, window_days: int) -> Column:
+    """The first day that has to be computed again: what can still change, and the window that reads it."""
+    return F.date_sub(now, delay_days + lifecycle_days + window_days)
