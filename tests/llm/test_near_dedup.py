@@ -208,3 +208,17 @@ def test_nothing_written_is_left_but_what_results_read(spark):
     assert len(left) == 1 and "stars" in next(iter(left))
     _shared.drop_paths(left)
     assert _shared.written_now() == before
+
+
+def test_keys_meet_pairs_near_the_radius():
+    """Of copies with many words replaced, those that are still within the radius, and of them the ones close to it."""
+    rng = np.random.default_rng(11)
+    base = [prose(rng, int(rng.integers(80, 400))) for _ in range(120)]
+    copies = [edited(rng, t, float(rng.uniform(0.04, 0.2))) for t in base]
+    _, a, ka = simhash.signatures(pa.array(base))
+    _, b, kb = simhash.signatures(pa.array(copies))
+    d = np.bitwise_count(a ^ b).sum(axis=1)
+    met = (ka == kb).any(axis=1)
+    near, edge = d <= simhash.RADIUS, (d > simhash.RADIUS - 20) & (d <= simhash.RADIUS)
+    assert near.sum() > 40 and edge.sum() > 15
+    assert met[near].mean() >= 0.9 and met[edge].mean() >= 0.9
