@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,6 +176,61 @@ def imputation_probe(df: DataFrame, id_col: str, column: str, how: str = "median
     return x.where("hidden").crossJoin(state).agg(F.count("*").alias("n_hidden"), F.avg(F.abs(F.col("x") - F.col("fill"))).alias("mae"), F.try_divide(F.avg(F.abs(F.col("x") - F.col("fill"))), F.stddev_pop("x")).alias("mae_over_sd"))
 
 
+def lowrank_impute(df: DataFrame, columns: Sequence[str], components: int = 1, most: int = 100, tol: float = 1e-6) -> tuple[DataFrame, list[float]]:
+    """(df with the missing values of columns filled from its principal components, the objective of each round). Columns are standardised; missing values begin at the mean and are replaced by the low-rank form until the misfit of the values
+    that are there no longer falls by tol.
+
+    A round is one pass that sums columns by columns. What a row's missing values have become follows from the row and the components of the rounds before, so no state is kept by row."""
+    columns = list(columns)
+    a = df.agg(*[f(finite(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    mean = np.array([a[f"m{i}"] or 0.0 for i in range(len(columns))])
+    sd = np.array([a[f"s{i}"] or 1.0 for i in range(len(columns))])
+    slim, bases = df.select(*[finite(c).alias(c) for c in columns]), []
+
+    def replay(x: np.ndarray) -> tuple[np.ndarray, float]:
+        gone = np.isnan(x)
+        z, misfit = np.where(gone, 0.0, (x - mean) / sd), 0.0
+        for v in bases:
+            low = z @ v @ v.T
+            z = np.where(gone, low, z)
+            misfit = float(((z - low)[~gone] ** 2).sum())
+        return z, misfit
+
+    def matrix(b: pa.RecordBatch) -> np.ndarray:
+        return np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(columns))], axis=1)
+
+    def gram(batches):
+        total, misfit = np.zeros((len(columns), len(columns))), 0.0
+        for b in batches:
+            z, m = replay(matrix(b))
+            total, misfit = total + z.T @ z, misfit + m
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([misfit])], names=["g", "m"])
+
+    objective: list[float] = []
+    while True:
+        sums = slim.mapInArrow(gram, "g binary, m double").collect()  # a row a task
+        if bases:
+            objective.append(round(sum(r.m for r in sums), 6))
+            if len(bases) >= most or (len(objective) > 1 and objective[-2] - objective[-1] < tol * max(objective[-2], 1e-12)):
+                break
+        g = sum(np.frombuffer(r.g).reshape(len(columns), -1) for r in sums)
+        bases.append(np.linalg.eigh(g)[1][:, ::-1][:, :components])
+
+    names, at = df.columns, [df.columns.index(c) for c in columns]
+
+    def fill(batches):
+        for b in batches:
+            x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in at], axis=1)
+            z, _ = replay(np.where(np.isfinite(x), x, np.nan))
+            out = list(b.columns)
+            for j, k in enumerate(at):
+                out[k] = pa.array(np.where(np.isfinite(x[:, j]), x[:, j], z[:, j] * sd[j] + mean[j]))
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    schema = ", ".join(f"`{f.name}` {'double' if f.name in columns else f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(fill, schema), objective
+
+
 def iqr_flags(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """df with is_outlier: beyond k interquartile ranges of the quartiles; a missing value isn't one."""
     q = quantiles(df, finite(column), [0.25, 0.75], ["_a", "_z"])

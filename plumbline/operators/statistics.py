@@ -778,3 +778,12 @@ def association(df: DataFrame, a: str, b: str) -> DataFrame:
         category, value = (b, a) if number[a] else (a, b)
         return correlation_ratio(df, category, value).select(F.lit("correlation_ratio").alias("measure"), F.round("eta", 4).alias("value"))
     return cramers_v(df, a, b).select(F.lit("cramers_v").alias("measure"), F.round("v", 4).alias("value"))
+
+
+def expected_max_noise_correlation(n: int, features: int, sims: int = 400, seed: int = 0) -> tuple[float, float]:
+    """(mean, 95th percentile) of the greatest correlation, in size, of that many independent columns of noise with a target over n rows: what a search among them finds by chance."""
+    if n < 3 or features < 1:
+        return float("nan"), float("nan")
+    t = np.random.default_rng(seed).standard_t(n - 2, size=(sims, features))
+    top = np.abs(t / np.sqrt(n - 2 + t * t)).max(axis=1)
+    return float(top.mean()), float(np.percentile(top, 95))

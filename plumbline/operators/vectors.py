@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import cosine, norm
+from ..functions.columns import cosine, finite, norm
 from ..functions.ordering import levels, ordered_sums
 
 
@@ -242,3 +242,36 @@ def silhouette_profile(df: DataFrame, id_col: str, vector: str, label: str) -> D
     s = silhouettes(df, id_col, vector, label)
     p = s.groupBy("label").agg(F.count("*").alias("size"), F.avg("silhouette").alias("m"), F.min("silhouette").alias("least"), F.avg((F.col("silhouette") < 0).cast("int")).alias("f"))
     return p.crossJoin(s.agg(F.avg("silhouette").alias("all"))).select("label", "size", F.round("m", 4).alias("mean_sil"), F.round("least", 4).alias("min_sil"), F.round("f", 4).alias("frac_negative"), ((F.col("m") < F.col("all")) & (F.col("f") > 0.1)).alias("weak"))
+
+
+def hopkins(df: DataFrame, id_col: str, vector: str, share: float = 0.1, seed: int = 42) -> DataFrame:
+    """One row (m, hopkins): of a sample by the hash of the id, distances to the nearest other row against those of as many points spread evenly over the box of the data (standardised): about one half where nothing is clustered, towards 1 where it is."""
+    x = scaled(df, vector).select(F.col(id_col).cast("string").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    real = x.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    box = x.select(F.posexplode("v").alias("d", "e")).groupBy("d").agg(F.min("e").alias("a"), F.max("e").alias("z")).agg(F.array_sort(F.collect_list(F.struct("d", "a", "z"))).alias("box"))
+    u = lambda i: F.pmod(F.xxhash64("id", i, F.lit(seed + 1)), F.lit(1 << 52)) / float(1 << 52)
+    made = real.crossJoin(box).select(F.concat(F.lit("made "), "id").alias("id"), F.transform("box", lambda b: b["a"] + (b["z"] - b["a"]) * u(b["d"])).alias("v"))
+    of = lambda q: neighbours(q, x, "id", "v", 1, "euclidean").agg(F.sum(-F.col("score")).alias("s"), F.count("*").alias("m"))
+    a, b = of(real), of(made).select(F.col("s").alias("w"))
+    return a.crossJoin(b).select("m", F.coalesce(F.try_divide("w", F.col("s") + F.col("w")), F.lit(0.5)).alias("hopkins"))
+
+
+def _distance_products(a: pa.Table, b: pa.Table) -> pa.RecordBatch:
+    """(id, a, b, ab, aa, bb): of each row the sums over the other block of the distances in x and in y and of their products."""
+    side = lambda t, c: t.column(c).to_numpy()
+    x, y, u, w = side(a, "x"), side(a, "y"), side(b, "x"), side(b, "y")
+    p, q = np.abs(x[:, None] - u[None]), np.abs(y[:, None] - w[None])
+    sums = [p.sum(axis=1), q.sum(axis=1), (p * q).sum(axis=1), (p * p).sum(axis=1), (q * q).sum(axis=1)]
+    return pa.RecordBatch.from_arrays([a.column("id").combine_chunks(), *map(pa.array, sums)], names=["id", "a", "b", "ab", "aa", "bb"])
+
+
+def distance_correlation(df: DataFrame, id_col: str, x: str, y: str) -> DataFrame:
+    """One row (n, dcor): 0 only for independent numbers, 1 for a linear dependence. Exact: every row against all rows, in blocks, of which only sums by row leave."""
+    d = df.where(F.col(id_col).isNotNull() & finite(x).isNotNull() & finite(y).isNotNull()).select(F.col(id_col).alias("id"), finite(x).alias("x"), finite(y).alias("y"))
+    blocks = max(1, -(-d.count() // BLOCK))
+    kind = d.schema["id"].dataType.simpleString()
+    s = _blocked(d, d, blocks, blocks, _distance_products, f"id {kind}, a double, b double, ab double, aa double, bb double").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("a", "b", "ab", "aa", "bb")])
+    n = F.count("*").cast("double")
+    cov = lambda p, q, pq: F.sum(pq) / (n * n) + F.sum(p) * F.sum(q) / F.pow(n, F.lit(4)) - 2 * F.sum(F.col(p) * F.col(q)) / F.pow(n, F.lit(3))
+    out = s.agg(F.count("*").alias("n"), cov("a", "b", "ab").alias("c"), cov("a", "a", "aa").alias("va"), cov("b", "b", "bb").alias("vb"))
+    return out.select("n", F.coalesce(F.sqrt(F.try_divide(F.greatest("c", F.lit(0.0)), F.sqrt(F.col("va") * F.col("vb")))), F.lit(0.0)).alias("dcor"))

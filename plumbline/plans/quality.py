@@ -257,3 +257,8 @@ def proxy_label(spark, sf_dir):
     s = F.col("p_size")
     p = table(spark, sf_dir, "part").select("p_partkey", (0.5 + (s % 10) / 20.0).alias("sensitivity"), (0.9 + (s % 7) / 100.0).alias("specificity"), (0.05 + (s % 5) / 10.0).alias("prevalence"))
     return Q.proxy_label(p).select("p_partkey", "ppv", "apparent_rate")
+
+
+@query()
+def lowrank_imputation(spark, sf_dir):
+    return Q.lowrank_impute(holes(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "tax", "discount", "l_extendedprice"), ["tax", "discount", "l_extendedprice"])[0]

@@ -117,3 +117,17 @@ SELECT label, size, round(m, 4) AS mean_sil, round(least, 4) AS min_sil, round(f
 """)
 def silhouette_profile(spark, sf_dir):
     return V.silhouette_profile(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query()
+def hopkins(spark, sf_dir):
+    return V.hopkins(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query("""
+WITH e AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part), s AS (SELECT a.id, sum(abs(a.x - b.x)) AS a, sum(abs(a.y - b.y)) AS b, sum(abs(a.x - b.x) * abs(a.y - b.y)) AS ab, sum(abs(a.x - b.x) * abs(a.x - b.x)) AS aa, sum(abs(a.y - b.y) * abs(a.y - b.y)) AS bb FROM e a JOIN e b ON true GROUP BY 1),
+c AS (SELECT count(*) AS n, sum(ab) / pow(count(*), 2) + sum(a) * sum(b) / pow(count(*), 4) - 2 * sum(a * b) / pow(count(*), 3) AS c, sum(aa) / pow(count(*), 2) + pow(sum(a), 2) / pow(count(*), 4) - 2 * sum(a * a) / pow(count(*), 3) AS va, sum(bb) / pow(count(*), 2) + pow(sum(b), 2) / pow(count(*), 4) - 2 * sum(b * b) / pow(count(*), 3) AS vb FROM s)
+SELECT n, round(sqrt(greatest(c, 0) / sqrt(va * vb)), 6) AS dcor FROM c
+""")
+def distance_correlation(spark, sf_dir):
+    return V.distance_correlation(table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_retailprice").withColumn("dcor", F.round("dcor", 6))

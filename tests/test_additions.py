@@ -212,3 +212,41 @@ def test_series_and_flags(spark):
     assert [r.v_reversed for r in series.reversed_column(d, "v", ["t"], ["g"]).orderBy("g", "t").collect()] == [1.0, 0.0, 3.0, 2.0, None]
     assert [r.v_isna for r in features.missing_indicator(d, ["v"]).orderBy("g", "t").collect()] == [0, 0, 0, 0, 1]
     assert series.purge_and_embargo(d.where("g = 'a'"), "t", 3, 3, 1).count() == 2 and series.purge_and_embargo(d.where("g = 'a'"), "t", 3, 3, 1, 0).count() == 3
+
+
+def test_tendency_and_dependence(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(12)
+    even, tight = rng.uniform(size=(300, 2)), np.concatenate([rng.normal(c, 0.02, (100, 2)) for c in (0, 1, 3)])
+    h = [vectors.hopkins(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>"), "id", "v", 0.3).first().hopkins for x in (even, tight)]
+    assert 0.35 < h[0] < 0.65 and h[1] > 0.85
+    x = rng.normal(size=150)
+    y = x * x + 0.1 * rng.normal(size=150)
+    a, b = (np.abs(v[:, None] - v[None]) for v in (x, y))
+    centre = lambda m: m - m.mean(axis=0) - m.mean(axis=1)[:, None] + m.mean()
+    a, b = centre(a), centre(b)
+    want = math.sqrt((a * b).mean() / math.sqrt((a * a).mean() * (b * b).mean()))
+    assert vectors.distance_correlation(frame(spark, np.stack([x, y], axis=1), ["x", "y"]), "id", "x", "y").first().dcor == pytest.approx(want, abs=1e-9)
+
+
+def test_low_rank_imputation(spark):
+    rng = np.random.default_rng(13)
+    f = rng.normal(size=200)
+    x = np.stack([f, 2 * f + 1, -f], axis=1) + 0.05 * rng.normal(size=(200, 3))
+    gone = rng.random((200, 3)) < 0.15
+    d = spark.createDataFrame([(k, *[None if g else float(v) for v, g in zip(r, m, strict=True)]) for k, (r, m) in enumerate(zip(x, gone, strict=True))], "id long, a double, b double, c double").repartition(3)
+    y = np.where(gone, np.nan, x)
+    mu, sd = np.nanmean(y, axis=0), np.nanstd(y, axis=0)
+    z, last, want = np.where(gone, 0, (y - mu) / sd), np.inf, []
+    for _ in range(100):
+        u, s, vt = np.linalg.svd(z, full_matrices=False)
+        low = u[:, :1] * s[:1] @ vt[:1]
+        z = np.where(gone, low, z)
+        want.append(round(float(((z - low)[~gone] ** 2).sum()), 6))
+        if last - want[-1] < 1e-6 * max(last, 1e-12):
+            break
+        last = want[-1]
+    out, objective = quality.lowrank_impute(d, ["a", "b", "c"])
+    got = np.array([[r.a, r.b, r.c] for r in out.orderBy("id").collect()])
+    assert np.allclose(objective, want, atol=1e-5) and np.allclose(got, z * sd + mu, atol=1e-6) and np.median(np.abs(got[gone] - x[gone])) < 0.5
+    assert statistics.expected_max_noise_correlation(100, 50)[0] == pytest.approx(0.25, abs=0.05)
