@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_kebab, slug
+from ..functions.columns import fixed_text, is_kebab, slug
 from ..operators import relational as R
 from ..registry import query
 from ..sources.tables import table, upserted
@@ -320,7 +320,7 @@ def nested_find(spark, sf_dir):
 @query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000000 THEN printf('%.1fM', o_totalprice / 1000000) WHEN o_totalprice >= 1000 THEN printf('%.1fk', o_totalprice / 1000) ELSE printf('%.0f', o_totalprice) END AS price, printf('%dm%02ds', o_orderkey // 60, o_orderkey % 60) AS duration FROM orders")
 def readable_numbers(spark, sf_dir):
     p, k = F.col("o_totalprice"), F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(p >= 1e6, F.format_string("%.1fM", p / 1e6)).when(p >= 1000, F.format_string("%.1fk", p / 1000)).otherwise(F.format_string("%.0f", p)).alias("price"), F.format_string("%dm%02ds", F.floor(k / 60), k % 60).alias("duration"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(p >= 1e6, F.concat(fixed_text(p / 1e6, 1), F.lit("M"))).when(p >= 1000, F.concat(fixed_text(p / 1000, 1), F.lit("k"))).otherwise(fixed_text(p, 0)).alias("price"), F.when(k.isNotNull(), F.format_string("%dm%02ds", F.expr("o_orderkey div 60"), k % 60)).alias("duration"))
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderkey % 3 = 0) AS null_flag, count(*) FILTER (o_orderkey % 3 = 1 AND o_totalprice > 100000) AS both_true, count(*) FILTER (o_orderkey % 3 = 1 OR (o_orderkey % 3 <> 0 AND o_totalprice > 100000) OR o_totalprice > 100000) AS either_true FROM orders GROUP BY 1")

@@ -299,3 +299,24 @@ def test_torn_lines_and_front_matter(spark, tmp_path):
     assert rows(tables.read_csv(spark, str(tmp_path / "t.csv")), "a") == [(1, None), (2, "x")]
     d = spark.createDataFrame([("---\nname: one\ndescription: \"two: three\"\n---\nbody",), ("no head",)], "t string")
     assert [r[0] for r in d.select(tables.front_matter(F.col("t"))).collect()] == [{"name": "one", "description": "two: three"}, {}]
+
+
+def test_fixed_text_rounds_as_printf(spark):
+    xs = [k / 20 for k in range(-40, 400)] + [k / 2 for k in range(-9, 9)] + [0.15, 0.35, 1.005, 358.65, 405.95, 999.95, 1e15, 123456789.25, 1e-9, 5e-324]
+    d = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double")
+    got = d.select("x", C.fixed_text("x", 0), C.fixed_text("x", 1), C.fixed_text("x", 2)).collect()
+    want = [(x, *(f"{x:.{k}f}" for k in range(3))) for x in xs] + [(None,) * 4]
+    assert [(tuple(r), w) for r, w in zip(got, want, strict=True) if tuple(r) != w] == []
+
+
+def test_readable_numbers_at_ties(spark, tmp_path):
+    """Prices halfway between two texts, by decimal digits or exactly in binary; no price, keys below 0 and beyond 2^53."""
+    import duckdb
+    from plumbline import plans, registry  # noqa: F401
+
+    prices = [50.0 * k for k in range(1, 400, 2)] + [358650.0, 405950.0, 1250000.0, 1350000.0, 999950.0, 999.5, 998.5, 0.5, 1.5, 0.0, -2.5, -0.3, 1e15]
+    spark.createDataFrame([(k, float(p)) for k, p in enumerate(prices)] + [(-61, 7.0), (2**62, 8.0), (10**6, None)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.execute(registry.ORACLE_SQL["readable_numbers"]).fetchall()
+    assert rows(registry.QUERIES["readable_numbers"](spark, str(tmp_path)).select("o_orderkey", "price", "duration"), "o_orderkey") == sorted(want)
