@@ -4,6 +4,7 @@ import collections
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plumbline.llm import sentencepiece_codec as sp
 from plumbline.llm import token_output as to
@@ -206,3 +207,25 @@ def test_a_wrong_codec_is_refused(codec):
 
     with open(sp.MODEL, "rb") as f, pytest.raises(ValueError):
         sp.verify_parity(Off(), f.read())
+
+
+def test_a_batch_is_encoded_in_small_runs(codec):
+    """What a task holds beside its batch doesn't grow with it; the rows are those of one run."""
+    import tracemalloc
+
+    texts = ["some plain words of a long text " * (k % 160) for k in range(4000)]
+    texts[7], texts[2000] = None, None
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run = sp._encoder(sp.MODEL, 1, [0], ["doc_id", "ids", "n_ids", "round_trip"])
+    list(run(iter([batch.slice(0, 300)])))
+    at, whole = 0, codec.encode([t or "" for t in texts[:300]])
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch])):
+            assert out.column(0).to_pylist() == list(range(at, at + out.num_rows))
+            if at < 300:
+                assert [x for x in out.column(1).to_pylist()[: 300 - at]] == [None if texts[k] is None else whole[k] for k in range(at, min(300, at + out.num_rows))]
+            at += out.num_rows
+        assert at == len(texts) and tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
