@@ -706,6 +706,10 @@ def prune_redundant(df: DataFrame, columns: Sequence[str], scores: Sequence[floa
     return df.sparkSession.createDataFrame(rows, "column string, kept boolean, because_of string")
 
 
+#: Relative residuals below it are found from rows, as moments have lost most of their digits.
+UNSURE = 1e-3
+
+
 def composite_target_probe(df: DataFrame, columns: Sequence[str], target: str, exact: float = 1e-6, near: float = 0.05) -> DataFrame:
     """One row (verdict, relative_residual, r2, n, most_redundant, minimal_subset, intercept, weights, looks_like_plain_sum): whether the target is a linear combination of columns.
 
@@ -727,10 +731,25 @@ def composite_target_probe(df: DataFrame, columns: Sequence[str], target: str, e
         left = cov[-1, -1] - 2 * w @ b + w @ a @ w
         return float(np.sqrt(max(left, 0) / cov[-1, -1])), w / scale
 
+    rows = df.select(*[finite(c).alias(f"c{k}") for k, c in enumerate([*names, target])]).dropna()
+
+    def residual(chosen: list[int]) -> tuple[float, np.ndarray, float]:
+        """As fitted, and how far the means are off the fit; where moments can't tell, as what they lose grows with the rows, the residuals of the rows are summed, and the weights brought nearer by what is left of a column in them."""
+        left, w = fitted(chosen)
+        if left >= UNSURE:
+            return left, w, 0.0
+        scale = np.sqrt(np.maximum(np.diag(cov)[chosen], 1e-300))
+        a = cov[np.ix_(chosen, chosen)] / np.outer(scale, scale)
+        for again in (True, False):
+            off = F.col(f"c{len(names)}") - float(mean[-1]) - sum((F.lit(float(v)) * (F.col(f"c{k}") - float(mean[k])) for k, v in zip(chosen, w, strict=True)), F.lit(0.0))
+            r = rows.withColumn("r", off).agg(F.avg("r").alias("m"), F.var_samp("r").alias("v"), *[F.covar_samp("r", f"c{k}").alias(f"v{k}") for k in chosen]).first()
+            if again:
+                w = w + np.linalg.lstsq(a, np.array([r[f"v{k}"] for k in chosen]) / scale, rcond=1e-12)[0] / scale
+        return float(np.sqrt(max(r.v, 0.0) / cov[-1, -1])), w, float(r.m)
+
     every = list(range(len(names)))
-    whole, _ = fitted(every)
-    # moments lose what lies below the square root of a double's precision
-    verdict = "exact_identity" if whole < max(exact, 3e-7) else "near_identity" if whole < near else "no_identity"
+    whole, _, _ = residual(every)
+    verdict = "exact_identity" if whole < exact else "near_identity" if whole < near else "no_identity"
     spare = min((fitted([j for j in every if j != k])[0], names[k]) for k in every)[1] if len(names) > 1 else None
     if verdict == "no_identity":
         return row(verdict, whole, 1 - whole**2, n, spare)
@@ -738,10 +757,10 @@ def composite_target_probe(df: DataFrame, columns: Sequence[str], target: str, e
     r = np.abs(cov[:-1, -1]) / np.sqrt(np.maximum(np.diag(cov)[:-1], 1e-300))
     for k in sorted(every, key=lambda k: r[k]):
         trial = [j for j in kept if j != k]
-        if trial and fitted(trial)[0] <= max(10 * whole, exact, 3e-7):
+        if trial and residual(trial)[0] <= max(10 * whole, exact):
             kept = trial
-    _, w = fitted(kept)
-    return row(verdict, whole, 1 - whole**2, n, spare, [names[k] for k in kept], round(float(mean[-1] - mean[kept] @ w), 6), [round(float(x), 6) for x in w], bool(len(w) > 1 and np.allclose(w, 1, atol=1e-4)))
+    _, w, off = residual(kept)
+    return row(verdict, whole, 1 - whole**2, n, spare, [names[k] for k in kept], round(float(mean[-1] - mean[kept] @ w) + off, 6), [round(float(x), 6) for x in w], bool(len(w) > 1 and np.allclose(w, 1, atol=1e-4)))
 
 
 #: Conventions for quantiles: (alpha, beta) of the linear ones; position n p + alpha + p (1 - alpha - beta).

@@ -1,8 +1,10 @@
 """Operators whose cost or memory grew faster than their input, or whose digits went with the rows: results over several blocks, and plans that hold no pairs."""
 
+import duckdb
 import numpy as np
 import pytest
-from plumbline.operators import vectors
+from plumbline import plans, registry  # noqa: F401
+from plumbline.operators import quality, statistics, vectors
 from pyspark.sql import functions as F
 
 
@@ -22,3 +24,35 @@ def test_distance_correlation_forms_no_pairs(spark, monkeypatch):
     assert r.n == 1200 and r.dcor == pytest.approx(want, abs=1e-10)
     assert vectors.distance_correlation(d.where("id < 0"), "id", "x", "y").first().dcor == 0
     assert vectors.distance_correlation(d.withColumn("x", F.lit(1.0)), "id", "x", "y").first().dcor == 0
+
+
+def test_concurrency_lists_no_steps(spark):
+    rows = [(1, 0.0, 9.0), (2, 3.0, 3.0), (3, 4.5, 8.2), (4, 8.0, 2.0), (5, 12.0, 10**12 + 12.0), (6, 20.0, 29.0), (7, 1.2, 1.8), (8, None, 3.0), (9, 9.0, 12.0)]
+    d = spark.createDataFrame(rows, "id long, b double, e double")
+    got = {r.span_id: (r.mean_concurrency, r.uniqueness) for r in statistics.label_concurrency(d, "id", "b", "e").collect()}
+    assert sorted(got) == [1, 2, 3, 5, 6, 9]
+    # steps 0 to 9: alone but for step 3, for 5 to 8, and for 9
+    assert got[1] == pytest.approx((1.6, 0.7)) and got[2] == pytest.approx((2, 0.5)) and got[3] == pytest.approx((2, 0.5))
+    assert got[6] == pytest.approx((2, 0.5)) and got[9] == pytest.approx((1.5, 0.75))
+    # ten steps of a trillion are shared, and one
+    assert got[5] == pytest.approx((1 + 11 / (10**12 + 1), 1 - 5.5 / (10**12 + 1)), rel=1e-15)
+
+
+def test_identity_is_seen_below_the_digits_of_moments(spark):
+    # the first row, by which moments are shifted, is far from the others
+    d = spark.range(0, 200_000, 1, 1).select(F.when(F.col("id") == 0, 3e6).otherwise(F.col("id") % 50).alias("a"), (F.col("id") % 7 / 100).alias("b"), (F.xxhash64("id") % 11 / 100).alias("c")).withColumn("y", F.expr("a + b + 3"))
+    r = statistics.composite_target_probe(d, ["a", "b", "c"], "y").first()
+    assert r.verdict == "exact_identity" and r.relative_residual < 1e-9 and sorted(r.minimal_subset) == ["a", "b"]
+    assert r.intercept == pytest.approx(3, abs=2e-6) and r.looks_like_plain_sum
+
+
+def test_issues_are_parted_as_in_their_sql(spark, tmp_path):
+    c = spark.createDataFrame([(k, f"n{k}", "A", float(v)) for k, v in enumerate([5.5, -999.0, -9.0, 12.25, 9999.0, -99.0, 7.5])], "c_custkey long, c_name string, c_mktsegment string, c_acctbal double")
+    c.write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = sorted(con.execute(registry.ORACLE_SQL["detect_issues"]).fetchall())
+    assert ("b", " -9") in want
+    assert sorted(tuple(r) for r in registry.QUERIES["detect_issues"](spark, str(tmp_path)).collect()) == want
+    # the operator keeps an issue whole
+    assert [r.issue for r in quality.detect_issues(c.select("c_acctbal")).collect()] == ["possible_numeric_sentinels:[-999, -99, -9, 9999]"]
