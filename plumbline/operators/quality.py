@@ -159,8 +159,13 @@ def missingness_vs_target(df: DataFrame, columns: Sequence[str], target: str) ->
 
 def impute(train: DataFrame, columns: Sequence[str], how: str = "median") -> DataFrame:
     """One row of each column's mean or median, fitted on train; fill_from applies it."""
-    f = {"mean": F.avg, "median": F.median}[how]
-    return train.agg(*[f(finite(c)).alias(c) for c in columns])
+    if how == "mean":
+        return train.agg(*[F.avg(finite(c)).alias(c) for c in columns])
+    if how != "median":
+        raise KeyError(how)
+    # from counted values: no task holds a column
+    m = ordered_sums(_stacked(train, columns), ["column"]).groupBy("column").agg(*quantile_columns([0.5], ["m"]))
+    return m.agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(c) for c in columns])
 
 
 def fill_from(df: DataFrame, state: DataFrame) -> DataFrame:
@@ -243,7 +248,8 @@ def iqr_flags(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
 def _median_and_mad(level: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., _m, _d): median and median absolute deviation, from levels (by..., x, n)."""
     med = ordered_sums(level, by).groupBy(*by).agg(*quantile_columns([0.5], ["_m"]))
-    near = level.join(med, list(by)) if by else level.crossJoin(med)
+    # a row a group or a column: a join by these few keys would send each key's rows to one task
+    near = level.join(F.broadcast(med), list(by)) if by else level.crossJoin(med)
     away = near.groupBy(*by, "_m", F.abs(F.col("x") - F.col("_m")).alias("x")).agg(F.sum("n").alias("n"))
     return ordered_sums(away, [*by, "_m"]).groupBy(*by, "_m").agg(*quantile_columns([0.5], ["_d"]))
 
@@ -272,7 +278,7 @@ def univariate_report(df: DataFrame, columns: Sequence[str], k: float = 1.5, thr
     """(column, n_iqr, n_robust_z), from one count of the values of all columns."""
     level = _stacked(df, columns)
     q = ordered_sums(level, ["column"]).groupBy("column").agg(*quantile_columns([0.25, 0.75], ["_a", "_z"]))
-    x = level.join(q, "column").join(_median_and_mad(level, ["column"]), "column")
+    x = level.join(F.broadcast(q), "column").join(F.broadcast(_median_and_mad(level, ["column"])), "column")  # a row a column
     spread = F.col("_z") - F.col("_a")
     out = x.groupBy("column").agg(F.sum(F.when((F.col("x") < F.col("_a") - k * spread) | (F.col("x") > F.col("_z") + k * spread), F.col("n")).otherwise(0)).alias("n_iqr"), F.sum(F.when(F.abs(F.try_divide(0.6745 * (F.col("x") - F.col("_m")), F.col("_d"))) > thresh, F.col("n")).otherwise(0)).alias("n_robust_z"))
     named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
