@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 from plumbline import plans, registry  # noqa: F401
-from plumbline.operators import quality, statistics, vectors
+from plumbline.operators import models, quality, shapes, statistics, text, vectors
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,35 @@ def test_recall_of_labels_lists_no_pairs(spark):
     pairs = d.alias("x").join(d.alias("y"), F.expr("x.label = y.label AND x.id <> y.id")).select(F.col("x.id").alias("id"), F.col("y.id").alias("neighbour"))
     want = {r.id: r.recall for r in vectors.recall_at_k(found, pairs, "id", "neighbour").collect()}
     assert {r.id: r.recall for r in vectors.label_recall(found, d, "id", "label").collect()} == want and set(want) == {1, 2, 3, 5, 6}
+
+
+def test_models_work_out_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(k, k % 2, float(k % 2 + k % 3), float(k % 5)) for k in range(300)]
+    d = spark.createDataFrame(rows, "id long, y int, a double, b double").mapInArrow(counted, "id long, y int, a double, b double")
+    assert {r.column for r in models.rfe_select(d, "y", ["a", "b"], 1).collect()} == {"a", "b"} and seen.value == 300
+    assert models.single_feature_auc(d, "id", "y", ["a", "b"], folds=2).count() == 2 and seen.value == 600
+
+
+def test_medians_hold_no_column_in_a_task(spark):
+    d = spark.createDataFrame([(k, float(k * k % 101), float(k)) for k in range(101)] + [(200, None, float("nan"))], "id long, x double, y double")
+    got = quality.impute(d, ["x", "y"])
+    assert tuple(got.first()) == (float(np.median([k * k % 101 for k in range(101)])), 50.0)
+    for plan in (got, shapes.fit_rank(d, "x")):
+        assert not any(f in plan._jdf.queryExecution().optimizedPlan().toString().lower() for f in ("median", "percentile("))
+
+
+def test_coverage_of_a_vocabulary_is_one_row_a_text(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "one Two two three"), (2, "four five"), (3, None), (4, ""), (None, "one six")], "id long, text string")
+    v = spark.createDataFrame([("one",), ("TWO",), (None,)], "token string")
+    small = text.vocabulary_coverage(d, v, "id", "text")
+    assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(text, "MOST_WORDS", 1)
+    for r in (small.first(), text.vocabulary_coverage(d, v, "id", "text").first()):
+        assert (r.token_oov, r.n_all_oov, r.type_oov) == pytest.approx((4 / 8, 1, 4 / 6))
