@@ -47,13 +47,22 @@ def text_summary(texts: DataFrame, text_col: str) -> DataFrame:
     return a.crossJoin(same).crossJoin(all_).crossJoin(top).withColumns({"top10_token_share": share("_t"), "non_alpha_token_share": share("_o")}).drop("_n", "_o", "_t")
 
 
+#: Words of a vocabulary that every executor gets at most.
+MOST_WORDS = 1_000_000
+
+
 def vocabulary_coverage(texts: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row: shares of tokens and of types that the vocabulary (token) lacks, and texts all of whose tokens it lacks."""
-    v = vocabulary.select(F.lower("token").alias("token"), F.lit(1).alias("known")).distinct()
-    n = token_rows(texts, id_col, text_col).groupBy(id_col, "token").agg(F.count("*").alias("n")).join(v, "token", "left").withColumn("known", F.coalesce("known", F.lit(0)))
-    types = n.groupBy("token").agg(F.max("known").alias("k")).agg(F.avg((F.col("k") == 0).cast("int")).alias("type_oov"))
-    whole = n.groupBy(id_col).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (1 - F.col("known"))).alias("o")).agg((F.sum("o") / F.sum("n")).alias("token_oov"), F.count_if(F.col("o") == F.col("n")).alias("n_all_oov"))
-    return whole.crossJoin(types)
+    v = vocabulary.where("token IS NOT NULL").select(F.lower("token").alias("token"), F.lit(1).alias("known")).distinct()
+    # with the words on every executor, a text's tokens stay where they are, and a row a text and a row a type are all that is shuffled
+    v = F.broadcast(v) if v.limit(MOST_WORDS + 1).count() <= MOST_WORDS else v
+    known = token_rows(texts, id_col, text_col).join(v, "token", "left").select(F.col(id_col).alias("id"), "token", F.coalesce("known", F.lit(0)).alias("known"))
+    # of text and type, one is null: both sums come from one pass
+    side = lambda text: F.struct(F.lit(text).alias("text"), F.when(F.lit(text), F.col("id")).alias("id"), F.when(F.lit(not text), F.col("token")).alias("token"))
+    n = known.select(F.explode(F.array(side(True), side(False))).alias("r"), "known").groupBy("r.text", "r.id", "r.token").agg(F.count("*").alias("n"), F.sum(1 - F.col("known")).alias("o"))
+    of = lambda c: F.when(F.col("text"), c)
+    type_oov = F.avg(F.when(~F.col("text"), (F.col("o") > 0).cast("int")))
+    return n.agg((F.sum(of(F.col("o"))) / F.sum(of(F.col("n")))).alias("token_oov"), F.count_if(F.col("text") & (F.col("o") == F.col("n"))).alias("n_all_oov"), type_oov.alias("type_oov"))
 
 
 def vocabulary_overlap(a: DataFrame, b: DataFrame, id_col: str, text_col: str) -> DataFrame:
