@@ -72,7 +72,8 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     e = cut_lineage(edges.select(src, dst).dropna().distinct())
     n = e.count()
     while n:
-        kept = e.join(e.select(F.col(src).alias(dst)).distinct(), dst, "left_semi").join(e.select(F.col(dst).alias(src)).distinct(), src, "left_semi").select(src, dst)
+        # merged by hint: edges are small by their files' size, and each round would send the nodes to the driver
+        kept = e.join(e.select(F.col(src).alias(dst)).distinct().hint("merge"), dst, "left_semi").join(e.select(F.col(dst).alias(src)).distinct().hint("merge"), src, "left_semi").select(src, dst)
         kept = cut_lineage(kept)
         drop_step(e)
         m, e = kept.count(), kept
